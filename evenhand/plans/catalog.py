@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from evenhand.plans import effect_queries  # noqa: F401
+from evenhand.plans import effect_queries, rule_queries, source_queries  # noqa: F401
 from evenhand.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -174,11 +174,11 @@ def _match_sql():
  r{a} as (select '{a}' arm, (coalesce((select sum(y) from lv where arm='{a}'),0)+(select sum(y) from m{a}))/(select count(*) from lv) v)"""
         for a in cfg.ARMS)
     return V.PLANTED + ", lv as (select unit_id, arm, y, ln(e_true_a) la, ln(e_true_b) lb, ln(e_true_c) lc from planted), " + parts + \
-        ", ra as (select * from rA union all select * from rB union all select * from rC)"
+        ", rall as (select * from rA union all select * from rB union all select * from rC)"
 
 
 @query("c12_matching", V.rounded(
-    "select arm target, v value from ra union all select p.arm||'-'||q.arm, p.v-q.v from ra p join ra q on p.arm<q.arm",
+    "select arm target, v value from rall union all select p.arm||'-'||q.arm, p.v-q.v from rall p join rall q on p.arm<q.arm",
     ["'matching' as method", "target"], ["value"], ctes=_match_sql()))
 def c12(spark, sf):
     units = T.planted(spark, sf)
