@@ -158,3 +158,34 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: tuple[str,
     high = F.max(F.when(F.col("__k") == F.ceil("__pos"), F.col("__v")))
     frac = F.first("__pos") - F.floor(F.first("__pos"))
     return hit.groupBy(*by, "p").agg((low + (high - low) * frac).alias("value"))
+
+
+def average_ranks(df: DataFrame, col: str, out: str, by: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
+    """(by…, col, out): the mean rank of every distinct value, ties sharing one rank; work is on distinct values."""
+    by = tuple(by)
+    vals = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("__c"))
+    vals = value_bucket(vals, col, _edges(df, col, buckets), "__b")
+    sizes = vals.groupBy(*by, "__b").agg(F.sum("__c").alias("__n"))
+    before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = W.partitionBy(*by, "__b").orderBy(col)
+    upto = F.sum("__c").over(inside)
+    return (
+        vals.withColumn("__u", upto).join(offsets, [*by, "__b"])
+        .select(*by, col, (F.col("__off") + F.col("__u") - (F.col("__c") - 1) / 2.0).alias(out))
+    )
+
+
+def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rank correlation per group: pairs are counted first, so joins and sums see distinct pairs only."""
+    by = tuple(by)
+    pairs = df.groupBy(*by, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    named = df.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    j = pairs.join(average_ranks(named, "__x", "rx", by), [*by, "__x"]).join(average_ranks(named, "__y", "ry", by), [*by, "__y"])
+    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
+    s = j.groupBy(*by).agg(
+        F.sum(w).alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"), F.sum(w * rx * rx).alias("sxx"),
+        F.sum(w * ry * ry).alias("syy"), F.sum(w * rx * ry).alias("sxy"))
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    return s.select(*by, F.when((vx > 0) & (vy > 0), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)).alias("spearman"))

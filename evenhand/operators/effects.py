@@ -25,10 +25,10 @@ def pick(prefix: str, arm: Column, arms) -> Column:
 # Folds and sufficient statistics
 
 
-def add_folds(units: DataFrame, k: int = cfg.FOLDS, salt: str = "fold") -> DataFrame:
+def add_folds(units: DataFrame, k: int = cfg.FOLDS, salt: str = "fold", by=()) -> DataFrame:
     """Stratified folds: position in the arm's hash order modulo k, so every arm is split evenly."""
     keyed = units.withColumn("__h", hash_key("unit_id", salt))
-    ranked = hash_rank(keyed, "__h", "__rk", by=("arm",))
+    ranked = hash_rank(keyed, "__h", "__rk", by=(*by, "arm"))
     return ranked.withColumn("fold", ((F.col("__rk") - 1) % k).cast("int")).drop("__h", "__rk")
 
 
@@ -213,7 +213,7 @@ def aipw(stats: DataFrame, nuis: DataFrame, arms=cfg.ARMS, by=("outcome",), z: f
 
 def crossfit_aipw(units: DataFrame, arms=cfg.ARMS, outcomes=("y",), by=(), folds: int = cfg.FOLDS) -> DataFrame:
     """Folds, sums, nuisances and AIPW in one call."""
-    st = cell_stats(add_folds(units, folds) if folds > 1 else units, outcomes, by)
+    st = cell_stats(add_folds(units, folds, by=by) if folds > 1 else units, outcomes, by)
     keys = [*by, "outcome"]
     return aipw(st, cell_nuisance(st, arms, keys, cross_fit=folds > 1), arms, keys)
 
