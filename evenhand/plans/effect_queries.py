@@ -306,7 +306,7 @@ def dr_sql(src="sc", xs=("x1", "b1"), name="dr"):
    (k11-2*r*k12+r*r*k22)/((1-r*r)**2)/(n*n) v11, (k12-r*k11-r*k22+r*r*k12)/((1-r*r)**2)/(n*n) v12,
    (k22-2*r*k12+r*r*k11)/((1-r*r)**2)/(n*n) v22 from {name}_k, {name}_r),
 {name}_s as (select unit_id, target, z1, z2, k0+k1*z1+k2*z2 value, sqrt(v00+2*v01*z1+2*v02*z2+v11*z1*z1+2*v12*z1*z2+v22*z2*z2) se,
-   k0, k1, k2, v00, v11, v22 from {name}_z cross join {name}_b join {name}_v using (target)),
+   k0, k1, k2, v00, v11, v12, v22 from {name}_z cross join {name}_b join {name}_v using (target)),
 {name} as (select *, value-1.959964*se ci_low, value+1.959964*se ci_high from {name}_s)"""
 
 
