@@ -38,10 +38,10 @@ def value_bucket(df: DataFrame, col: str, edges: list[float], out: str) -> DataF
     return marked.withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
-def _bucketed(df: DataFrame, col: str, tie: str, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, col: str, tie: str, buckets: int, edges: list[float] | None = None, ties: list[float] | None = None) -> DataFrame:
     """Columns __b (value bucket) and __s (tie sub-bucket, only inside an edge value)."""
-    edges = _edges(df, col, buckets)
-    ties = _edges(df, tie, buckets) if edges else []
+    edges = _edges(df, col, buckets) if edges is None else edges
+    ties = (_edges(df, tie, buckets) if edges else []) if ties is None else ties
     out = value_bucket(df, col, edges, "__b")
     if not edges:
         return out.withColumn("__s", F.lit(0))
@@ -52,14 +52,16 @@ def _bucketed(df: DataFrame, col: str, tie: str, buckets: int) -> DataFrame:
 
 
 def global_rank(df: DataFrame, col: str, tie: str, out: str = "rank", by: tuple[str, ...] = (),
-                descending: bool = False, sum_cols: dict[str, str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+                descending: bool = False, sum_cols: dict[str, str] | None = None, buckets: int = BUCKETS,
+                edges: list[float] | None = None, ties: list[float] | None = None) -> DataFrame:
     """Exact ``row_number`` over (by, col, tie), rows spread over many tasks; ties go to the smaller ``tie``.
 
-    ``sum_cols`` maps a column to the name of its running total in rank order (inclusive).
+    ``sum_cols`` maps a column to the name of its running total in rank order (inclusive). Bucket edges of the value (of its
+    negative when descending) and of the tie column may be given; the input is read twice, so it is kept.
     """
     sign = -1 if descending else 1
-    work = df.withColumn("__k", F.col(col).cast("double") * F.lit(float(sign)))
-    work = _bucketed(work, "__k", tie, buckets)
+    work = df.withColumn("__k", F.col(col).cast("double") * F.lit(float(sign))).persist()
+    work = _bucketed(work, "__k", tie, buckets, edges, ties)
     sum_cols = sum_cols or {}
     sizes = work.groupBy(*by, "__b", "__s").agg(
         F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__t_{o}") for c, o in sum_cols.items()]
@@ -85,7 +87,7 @@ def global_rank(df: DataFrame, col: str, tie: str, out: str = "rank", by: tuple[
 
 def hash_rank(df: DataFrame, key: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact ``row_number`` over (by, key) for an md5 key: its first two digits are 256 even buckets."""
-    work = df.withColumn("__b", F.substring(key, 1, 2))
+    work = df.withColumn("__b", F.substring(key, 1, 2)).persist()  # read twice
     sizes = work.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))

@@ -33,17 +33,16 @@ def plain_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def ngrams(terms: Column, n: int, sep: str = " ") -> Column:
-    """Adjacent n-word sequences of an array."""
-    count = F.size(terms) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(terms, i, n), sep))).otherwise(
-        F.array().cast("array<string>"))
+def word_pairs(terms: Column) -> Column:
+    """Adjacent pairs of an array, joined by a space; the array is read a fixed number of times, not once per pair."""
+    n = F.greatest(F.size(terms) - 1, F.lit(0))
+    return F.zip_with(F.slice(terms, 1, n), F.slice(terms, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def uni_and_bigrams(text: Column, stop=STOP_WORDS) -> Column:
     """Terms of at least two word characters and their adjacent pairs, after stop words are dropped."""
     t = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(*stop))
-    return F.concat(t, ngrams(t, 2))
+    return F.concat(t, word_pairs(t))
 
 
 def sentences(text: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evenhand.functions import text as X
-from evenhand.functions.ranking import global_rank
+from evenhand.functions.ranking import global_rank, value_bucket
 from evenhand.functions.stats import union_all
 
 K1, B, RRF_K, TOP_K, MIN_SCORE, MIN_COVERAGE = 1.5, 0.75, 60, 5, 1.0, 0.6
@@ -73,21 +73,21 @@ def bm25(passages: DataFrame, queries: DataFrame, stop=X.STOP_WORDS, k1: float =
 
 def tfidf_index(passages: DataFrame, stop=X.STOP_WORDS, min_df: int = 1) -> tuple[DataFrame, DataFrame]:
     """((pos, term, weight) with unit length, (term, df, idf)) over words and word pairs."""
-    g = passages.select("pos", F.explode(X.uni_and_bigrams(F.col("text"), stop)).alias("term")).groupBy("pos", "term").agg(F.count(F.lit(1)).alias("tf"))
+    g = passages.select("pos", F.explode(X.uni_and_bigrams(F.col("text"), stop)).alias("term")).groupBy("pos", "term").agg(F.count(F.lit(1)).alias("tf")).persist()
     n = passages.agg(F.count(F.lit(1)).alias("n_docs"))
     terms = g.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).crossJoin(F.broadcast(n)).select(
         "term", "df", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = g.join(terms.select("term", "idf"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = w.groupBy("pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "pos").select("pos", "term", (F.col("w") / F.col("norm")).alias("weight")), terms
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("pos")))  # a passage's own terms
+    return w.select("pos", "term", (F.col("w") / norm).alias("weight")), terms
 
 
 def tfidf_query(queries: DataFrame, terms: DataFrame, stop=X.STOP_WORDS) -> DataFrame:
     """(query_id, term, qw): unit-length query weights over known terms."""
     q = queries.select("query_id", F.explode(X.uni_and_bigrams(F.col("text"), stop)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     w = q.join(terms.select("term", "idf"), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = w.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("qw"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("query_id")))  # a query's own terms
+    return w.select("query_id", "term", (F.col("w") / norm).alias("qw"))
 
 
 def cosine(index: DataFrame, query: DataFrame, floor: float = 0.0) -> DataFrame:
@@ -143,19 +143,30 @@ def candidates(scores: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts).groupBy("query_id", "pos").agg(*[F.max(n).alias(n) for n in scores])
 
 
-def full_ranks(cand: DataFrame, name: str) -> DataFrame:
-    """Adds rank_<name>: the passage's rank among all passages of the corpus.
+def full_ranks(cand: DataFrame, names, buckets: int = 64) -> DataFrame:
+    """Adds rank_<name> for every retriever: the passage's rank among all passages of the corpus.
 
     Positive scores come first (ties by position). A passage with score 0 follows all positives in position order, so its
     rank is n_positive + (its position − positives before it): no other passage is looked at. ``pos`` counts from 0.
+    Scores and positions are put into buckets, so no query's candidates meet in one task.
     """
-    r = global_rank(cand, name, "pos", "__r", by=("query_id",), descending=True)
-    r = r.withColumn("__one", (F.col(name) > 0).cast("bigint"))
-    r = global_rank(r, "pos", "pos", "__p", by=("query_id",), sum_cols={"__one": "__before"})
-    n_pos = cand.groupBy("query_id").agg(F.sum((F.col(name) > 0).cast("bigint")).alias("__npos"))
-    j = r.join(n_pos, "query_id")
-    rank = F.when(F.col(name) > 0, F.col("__r")).otherwise(F.col("__npos") + F.col("pos") - F.col("__before") + 1)
-    return j.withColumn(f"rank_{name}", rank).drop("__r", "__one", "__p", "__before", "__npos")
+    cand = cand.persist()
+    signed = cand.select(*[F.when(F.col(n) > 0, -F.col(n)).alias(n) for n in names], F.col("pos").cast("double").alias("pos"))
+    got = signed.approxQuantile([*names, "pos"], [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
+    edges = {n: sorted(set(q)) for n, q in zip([*names, "pos"], got)}
+    placed = value_bucket(cand, "pos", edges["pos"], "__pb")
+    sums = placed.groupBy("query_id", "__pb").agg(*[F.sum((F.col(n) > 0).cast("bigint")).alias(f"__c_{n}") for n in names])
+    before, whole = W.partitionBy("query_id").orderBy("__pb").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("query_id")
+    offsets = sums.select("query_id", "__pb", *[F.coalesce(F.sum(f"__c_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names],
+                          *[F.sum(f"__c_{n}").over(whole).alias(f"__np_{n}") for n in names])
+    inside = W.partitionBy("query_id", "__pb").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = placed.select("*", *[F.sum((F.col(n) > 0).cast("bigint")).over(inside).alias(f"__i_{n}") for n in names]).join(offsets, ["query_id", "__pb"])
+    for n in names:
+        r = global_rank(cand.where(F.col(n) > 0).select("query_id", "pos", n), n, "pos", "__place", by=("query_id",), descending=True, edges=edges[n], ties=edges["pos"])
+        out = out.join(r.select("query_id", "pos", "__place"), ["query_id", "pos"], "left")
+        zero = F.col(f"__np_{n}") + F.col("pos") - F.col(f"__o_{n}") - F.col(f"__i_{n}") + 1
+        out = out.withColumn(f"rank_{n}", F.coalesce("__place", zero)).drop("__place")
+    return out.select(*cand.columns, *[f"rank_{n}" for n in names])
 
 
 def fuse(ranked: DataFrame, names, k: int = RRF_K, top_n: dict[str, int] | None = None, out: str = "rrf") -> DataFrame:
@@ -179,8 +190,8 @@ def hybrid(passages: DataFrame, queries: DataFrame, stop=X.STOP_WORDS, bm: DataF
     if vec is None:
         index, terms = tfidf_index(passages, stop)
         vec = cosine(index, tfidf_query(queries, terms, stop))
-    cand = candidates({"bm25": bm, "vector": vec}).persist()
-    return fuse(full_ranks(full_ranks(cand, "bm25"), "vector"), ["bm25", "vector"])
+    cand = candidates({"bm25": bm, "vector": vec})
+    return fuse(full_ranks(cand, ["bm25", "vector"]), ["bm25", "vector"]).persist()
 
 
 def diverse(df: DataFrame, order, k: int = 3, per_source: int = 1, pool: int = 6) -> DataFrame:
