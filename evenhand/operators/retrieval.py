@@ -397,14 +397,16 @@ def evidence_bundle(gate: DataFrame, best: DataFrame, passages: DataFrame, label
 
 def citation_counts(bundles: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     """(query_id, arm, citations): shown passages that name the arm's class word or example."""
-    parts = []
-    for arm, keys in names.items():
-        def hit(p, keys=keys):
+    def naming(keys):
+        def hit(p):
             t, out = F.lower(p["text"]), F.lit(False)
             for w in keys:
                 out = out | F.contains(t, F.lit(w.lower()))
             return out
-        parts.append(F.struct(F.lit(arm).alias("arm"), F.size(F.filter(F.coalesce("passages", F.array().cast(dict(bundles.dtypes)["passages"])), hit)).alias("citations")))
+        return hit
+
+    shown = F.coalesce("passages", F.array().cast(dict(bundles.dtypes)["passages"]))
+    parts = [F.struct(F.lit(arm).alias("arm"), F.size(F.filter(shown, naming(keys))).alias("citations")) for arm, keys in names.items()]
     return bundles.select("query_id", F.inline(F.array(*parts)))
 
 

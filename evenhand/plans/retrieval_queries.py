@@ -214,7 +214,7 @@ def added_words(spark, sf):
     return e.select("query_id", F.explode("equivalents").alias("asked", "e")).select("query_id", "asked", F.explode("e").alias("equivalent"))
 
 
-COVER = FUSED + "," + EXPAND.split(", ", 1)[1].replace("w0 as", "w0 as") + ", eq as (select distinct query_id, unnest(string_split(phrase,' ')) asked, e from (select query_id, phrase, unnest(string_split(term,' ')) e from c5) where e not in " + STOP + """),
+COVER = FUSED + "," + EXPAND.replace("qi as (select item_id query_id, text from benchmark), ", "") + ", eq as (select distinct query_id, unnest(string_split(phrase,' ')) asked, e from (select query_id, phrase, unnest(string_split(term,' ')) e from c5) where e not in " + STOP + """),
  sh as (select distinct query_id, term word from tp join pt using (pos)), ak as (select query_id, term asked from qt), wy as (select query_id, asked, asked word from ak union select query_id, asked, e from ak join eq using (query_id, asked)),
  cv as (select query_id, avg(h) coverage from (select query_id, asked, max(case when sh.word is null then 0.0 else 1.0 end) h from wy left join sh using (query_id, word) group by 1,2) group by 1),
  bb as (select query_id, max(b) best from fu group by 1),
