@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from evenhand.plans import attribution_queries, corpus_queries, diagnostic_queries, effect_queries, grading_queries, retrieval_queries, rule_queries, screening_queries, source_queries  # noqa: F401
+from evenhand.plans import attribution_queries, corpus_queries, diagnostic_queries, effect_queries, grading_queries, retrieval_queries  # noqa: F401
+from evenhand.plans import rule_queries, screening_queries, source_queries, stream_queries  # noqa: F401
 from evenhand.plans.registry import ORACLES, QUERIES  # noqa: F401
