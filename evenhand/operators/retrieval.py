@@ -62,9 +62,10 @@ def bm25_from_index(post: DataFrame, terms: DataFrame, stats: DataFrame, queries
 def bm25(passages: DataFrame, queries: DataFrame, stop=X.STOP_WORDS, k1: float = K1, b: float = B) -> DataFrame:
     """As above without a saved index: passages are reduced to the queries' own terms before anything is grouped."""
     wanted = query_terms(queries, stop).select("term").distinct()
-    t = passages.select("pos", X.tokens(F.col("text"), stop).alias("__t")).select("pos", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    tok = passages.select("pos", X.tokens(F.col("text"), stop).alias("__t")).persist()  # cut once, read for lengths and for postings
+    stats = tok.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("__t")).alias("avgdl"))
+    t = tok.select("pos", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
     post = t.join(wanted, "term", "left_semi").groupBy("pos", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).persist()
-    stats = corpus_stats(passages, stop)
     return bm25_from_index(post, term_stats(post, stats), stats, queries, stop, k1, b)
 
 

@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from evenhand.functions.hashing import noise, uniform
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Text work is all in the scan's tasks, so a table with fewer splits than cores is dealt out; a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
 def literal(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
