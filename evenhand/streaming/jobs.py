@@ -27,7 +27,7 @@ def latency_summary(events: DataFrame, by: str, value: str, failed: Column, vali
 
 def latency_windows(events: DataFrame, ts: str, value: str, failed: Column, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """The streaming form: tumbling windows with a watermark and approximate quantiles."""
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     g = e.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("max_value"), F.sum(failed.cast("bigint")).alias("fallbacks"),
                                                       F.approx_percentile(value, [0.5, 0.95], 10000).alias("q"))
     return g.select(F.col("w.start").alias("start"), "n", "max_value", "fallbacks", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
@@ -56,13 +56,10 @@ def _waits(level: Column):
 
 
 def throttle_stream(events: DataFrame, key: str, order: str, failed: Column, success: Column) -> DataFrame:
-    """The streaming form: one counter per key, events of a batch taken in order; state is dropped after an idle day."""
+    """The streaming form: one small counter per key; the events of a batch are taken in order."""
     e = events.where(failed | success).select(F.col(key).cast("bigint").alias(key), F.col(order).cast("bigint").alias(order), failed.alias("is_failure"))
 
     def step(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         level = state.get[0] if state.exists else 0
         pdf = pd.concat(list(frames)).sort_values(order)
         out = []
@@ -71,10 +68,9 @@ def throttle_stream(events: DataFrame, key: str, order: str, failed: Column, suc
             if bad:
                 out.append((k[0], o, level))
         state.update((level,))
-        state.setTimeoutDuration(86_400_000)
         yield pd.DataFrame(out, columns=[key, order, "level"])
 
-    got = e.groupBy(key).applyInPandasWithState(step, f"{key} bigint, {order} bigint, level int", "level int", "append", "ProcessingTimeTimeout")
+    got = e.groupBy(key).applyInPandasWithState(step, f"{key} bigint, {order} bigint, level int", "level int", "append", "NoTimeout")
     return got.select("*", *_waits(F.col("level")))
 
 
@@ -99,7 +95,7 @@ def sliding_failures(events: DataFrame, key: str, seconds: str, failed: Column,
 def audit_lines(events: DataFrame, request: str, ts: str, fields, decision: Column, rules: Column, engine: str) -> DataFrame:
     """One line per request: identifiers, versions, names of fields present, status and rule ids; never a value."""
     present = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields]))
-    lines = events.select(F.col(request).alias("request_id"), F.col(ts).alias("time"), F.lit(engine).alias("engine"), present.alias("fields_received"), decision.alias("status"), rules.alias("rules"))
+    lines = events.select(F.col(request).alias("request_id"), F.col(ts).cast("timestamp").alias("time"), F.lit(engine).alias("engine"), present.alias("fields_received"), decision.alias("status"), rules.alias("rules"))
     if lines.isStreaming:
         return lines.withWatermark("time", "1 day").dropDuplicatesWithinWatermark(["request_id"])
     return lines.dropDuplicates(["request_id"])
