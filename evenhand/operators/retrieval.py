@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from evenhand.functions import text as X
 from evenhand.functions.ranking import global_rank, value_bucket
 from evenhand.functions.stats import union_all
+from evenhand.session import materialise
 
 K1, B, RRF_K, TOP_K, MIN_SCORE, MIN_COVERAGE = 1.5, 0.75, 60, 5, 1.0, 0.6
 
@@ -151,7 +152,6 @@ def full_ranks(cand: DataFrame, names, buckets: int = 64) -> DataFrame:
     rank is n_positive + (its position − positives before it): no other passage is looked at. ``pos`` counts from 0.
     Scores and positions are put into buckets, so no query's candidates meet in one task.
     """
-    cand = cand.persist()
     signed = cand.select(*[F.when(F.col(n) > 0, -F.col(n)).alias(n) for n in names], F.col("pos").cast("double").alias("pos"))
     got = signed.approxQuantile([*names, "pos"], [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
     edges = {n: sorted(set(q)) for n, q in zip([*names, "pos"], got)}
@@ -191,8 +191,8 @@ def hybrid(passages: DataFrame, queries: DataFrame, stop=X.STOP_WORDS, bm: DataF
     if vec is None:
         index, terms = tfidf_index(passages, stop)
         vec = cosine(index, tfidf_query(queries, terms, stop))
-    cand = candidates({"bm25": bm, "vector": vec})
-    return fuse(full_ranks(cand, ["bm25", "vector"]), ["bm25", "vector"]).persist()
+    cand = materialise(candidates({"bm25": bm, "vector": vec}), "candidates")
+    return materialise(fuse(full_ranks(cand, ["bm25", "vector"]), ["bm25", "vector"]), "fused")
 
 
 def diverse(df: DataFrame, order, k: int = 3, per_source: int = 1, pool: int = 6) -> DataFrame:

@@ -14,7 +14,7 @@ from evenhand.plans import corpus_queries as G
 from evenhand.plans import source_queries as A
 from evenhand.plans import sqlviews as V
 from evenhand.plans.registry import query
-from evenhand.session import shared_dir
+from evenhand.session import materialise, shared_dir
 from evenhand.sources import literals as LT
 from evenhand.sources import tables as T
 
@@ -400,11 +400,11 @@ TWO_RANKINGS = ORDER_SQL + "," + GOLD + """, fl as (select tp.query_id, "rank",
 
 def two_rankings(spark, sf):
     p, q = passages(spark, sf), items(spark, sf)
-    f = H.hybrid(p, q).persist()
-    g = gold(spark, sf).persist()
+    f = H.hybrid(p, q)
+    g = materialise(gold(spark, sf), "gold")
     base = metrics_of(spark, sf, best_passages(spark, sf, f), g).withColumn("variant", F.lit("base"))
     other = metrics_of(spark, sf, source_ordered(spark, sf, fused=f), g).withColumn("variant", F.lit("source_aware"))
-    return base.unionByName(other)
+    return materialise(base.unionByName(other), "question_metrics")
 
 
 @query("i05_paired_bootstrap", V.rounded("""select avg(diff) diff, any_value(lo) ci_low, any_value(hi) ci_high, count(*) filter (diff>1e-12) wins, count(*) filter (diff < -1e-12) losses, count(*) filter (abs(diff)<=1e-12) ties, count(*) n from pr,
@@ -421,8 +421,8 @@ def i05(spark, sf):
 @query("i06_setting_search")
 def i06(spark, sf):
     p, q = passages(spark, sf), items(spark, sf)
-    f = H.hybrid(p, q).persist()
-    g = gold(spark, sf).persist()
+    f = H.hybrid(p, q)
+    g = materialise(gold(spark, sf), "gold")
     parts = [metrics_of(spark, sf, source_ordered(spark, sf, d if d is not None else 15, fused=f), g).withColumn("setting", F.lit(str(d))).withColumn("decimals", F.lit(d).cast("int"))
              for d in (None, 4, 3, 2)]
     return rnd(I.best_setting(union_all(parts)))
@@ -433,7 +433,7 @@ def i06(spark, sf):
    ["variant", "split", "metric", "wins", "losses", "ties", "n"], ["mean", "diff"], ctes=TWO_RANKINGS + ", lg as (" + " union all ".join(f"select query_id, '{v}' variant, '{m}' metric, cast({m} as double) as value from {t}" for v, t in (("base", "m1"), ("source_aware", "m2")) for m in ("recall", "mrr", "ndcg")) + """),
    hd as (select query_id, row_number() over (partition by 1 order by md5(cast(query_id as varchar)||':split')) <= greatest(round(count(*) over ()*0.34),1) held_out from ex)"""))
 def i07(spark, sf):
-    m = two_rankings(spark, sf).persist()
+    m = two_rankings(spark, sf)
     split = I.stratified_split(gold(spark, sf).select("query_id", F.lit("answerable").alias("stratum")), "query_id", "stratum", 0.34)
     return rnd(I.ablation(m, split, "base"))
 
