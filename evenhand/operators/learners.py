@@ -25,7 +25,7 @@ def _fit_logistic(train: DataFrame, covariates, arms, n: int):
     stages = [
         VectorAssembler(inputCols=list(covariates), outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True),
-        # the reference's inverse strength of 1 on a summed loss is 1/n on Spark's mean loss
+        # an inverse strength of 1 on a summed loss is 1/n on Spark's mean loss
         LogisticRegression(featuresCol="__x", labelCol="__t", family="multinomial", regParam=1.0 / n, elasticNetParam=0.0,
                            standardization=False, probabilityCol="__p", rawPredictionCol="__rp", predictionCol="__pred"),
     ]
