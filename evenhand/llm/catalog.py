@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evenhand.llm import bpe, langid
+from evenhand.llm import bpe, langid, mixing, neardup, repeats
 from evenhand.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,11 +25,26 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_ngram_jaccard")
+def op1(spark, sf):
+    return neardup.classes(documents(spark, sf))
+
+
 @query("op3_bpe")
 def op3(spark, sf):
     return bpe.digests(documents(spark, sf), VOCABULARY)
 
 
+@query("op5_substring_dedup", repeats.SQL)
+def op5(spark, sf):
+    return repeats.removed(documents(spark, sf))
+
+
+@query("op8_mixing")
+def op8(spark, sf):
+    return mixing.taken(documents(spark, sf))
+
+
 @query("op10_language_id")
 def op10(spark, sf):
     return langid.predictions(documents(spark, sf))

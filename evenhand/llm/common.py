@@ -60,18 +60,21 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(lambda batches: map(fn, slices(batches, column)), schema)
 
 
-def skew_safe_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: Column) -> DataFrame:
-    """left ⟕ right on one binary or string key that is unique in right; ``count`` holds the number of left rows of a key.
+def skew_safe_join(left: DataFrame, right: DataFrame, keys: str | list[str], count: str, spread: Column) -> DataFrame:
+    """left ⟕ right on keys that are unique in right; ``count`` holds the number of left rows of a key.
 
     Keys with over ``HEAVY_SHARE`` of the counted rows (at most 1 / HEAVY_SHARE of them) go by broadcast; for the
     others a key is at most that share of the rows, so that no task of the shuffle is large. Rows settled by the broadcast
-    are spread by ``spread``. right should be a written table, as it is read three times.
+    are spread by ``spread``, which takes the place of their first key. right should be a written table, as it is read three times.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     total = right.agg(F.sum(count)).first()[0] or 0
     heavy = F.col(count) > max(1.0, total * HEAVY_SHARE)
-    cols = [c for c in right.columns if c != key]
-    few = F.broadcast(right.where(heavy).select(F.col(key).alias("__hk"), *[F.col(c).alias(f"__h_{c}") for c in cols]))
-    rest = right.where(~heavy).select(F.col(key).alias("__ck"), *[F.col(c).alias(f"__c_{c}") for c in cols])
-    own = left.join(few, F.col(key) == F.col("__hk"), "left").withColumn("__k", F.when(F.col("__hk").isNotNull(), spread).otherwise(F.col(key)))
-    both = own.join(rest, F.col("__k") == F.col("__ck"), "left")
-    return both.select(*left.columns, *[F.when(F.col("__hk").isNotNull(), F.col(f"__h_{c}")).otherwise(F.col(f"__c_{c}")).alias(c) for c in cols])
+    cols = [c for c in right.columns if c not in keys]
+    few = F.broadcast(right.where(heavy).select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"__h_{c}") for c in cols]))
+    rest = right.where(~heavy).select(*[F.col(k).alias(f"__c{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"__c_{c}") for c in cols])
+    own = left.join(few, [F.col(k) == F.col(f"__h{i}") for i, k in enumerate(keys)], "left")
+    settled = F.col("__h0").isNotNull()
+    own = own.withColumns({"__settled": settled, "__k0": F.when(settled, spread).otherwise(F.col(keys[0]))})
+    both = own.join(rest, [F.col("__k0") == F.col("__c0"), *[F.col(k) == F.col(f"__c{i}") for i, k in enumerate(keys) if i]], "left")
+    return both.select(*left.columns, *[F.when(F.col("__settled"), F.col(f"__h_{c}")).otherwise(F.col(f"__c_{c}")).alias(c) for c in cols])
