@@ -117,8 +117,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
 
 #: The same in SQL. Null doc_ids are not told apart here; the given tables have none.
-SQL = r"""with u as (select doc_id, unnest(us) unit, unnest(range(len(us))) i, unnest(list_transform(range(len(us)), x -> coalesce(list_sum(list_transform(us[1:x], y -> length(y))), 0))) s0
-   from (select doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\n]*[ \t\r\n]*|[.!?\n]+[ \t\r\n]*') us from documents where text is not null)),
+SQL = r"""with u0 as (select doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\n]*[ \t\r\n]*|[.!?\n]+[ \t\r\n]*') us from documents where text is not null),
+ u1 as (select doc_id, unnest(us) unit, unnest(range(len(us))) i from u0),
+ u as (select *, coalesce(sum(length(unit)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) s0 from u1),
  n as (select doc_id, i, s0, s0 + length(unit) s1, lower(trim(regexp_replace(unit, '[ \t\r\n]+', ' ', 'g'), ' ')) f from u),
  w as (select *, len(string_split(f, ' ')) >= 8 long, row_number() over (partition by f order by doc_id, i) k from n where f <> ''),
  r as (select * , i - row_number() over (partition by doc_id order by i) g from w where k > 1),
