@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, langid, mixing, neardup, repeats
+from evenhand.llm import bpe, langid, mixing, neardup, repeats, topk
 from evenhand.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,11 @@ def op3(spark, sf):
     return bpe.digests(documents(spark, sf), VOCABULARY)
 
 
+@query("op4_exact_top_k", topk.SQL)
+def op4(spark, sf):
+    return topk.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 @query("op5_substring_dedup", repeats.SQL)
 def op5(spark, sf):
     return repeats.removed(documents(spark, sf))
