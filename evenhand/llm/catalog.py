@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, langid, mixing, neardup, repeats, topk
+from evenhand.llm import bpe, langid, mixing, neardup, repeats, tokenfile, topk
 from evenhand.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op5(spark, sf):
     return repeats.removed(documents(spark, sf))
 
 
+@query("op7_token_file")
+def op7(spark, sf):
+    return tokenfile.written_and_read(documents(spark, sf), VOCABULARY)
+
+
 @query("op8_mixing")
 def op8(spark, sf):
     return mixing.taken(documents(spark, sf))
