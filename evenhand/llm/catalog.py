@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, langid, mixing, neardup, repeats, tokenfile, topk
+from evenhand.llm import bpe, langid, media, mixing, neardup, repeats, tokenfile, topk, wrapper
 from evenhand.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op1(spark, sf):
     return neardup.classes(documents(spark, sf))
 
 
+@query("op2_wrapper_induction")
+def op2(spark, sf):
+    return wrapper.main_text(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 @query("op3_bpe")
 def op3(spark, sf):
     return bpe.digests(documents(spark, sf), VOCABULARY)
@@ -56,6 +61,11 @@ def op8(spark, sf):
     return mixing.taken(documents(spark, sf))
 
 
+@query("op9_progressive_jpeg")
+def op9(spark, sf):
+    return media.stored_and_read(documents(spark, sf))
+
+
 @query("op10_language_id")
 def op10(spark, sf):
     return langid.predictions(documents(spark, sf))
