@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, langid, media, mixing, neardup, repeats, tokenfile, topk, wrapper
+from evenhand.llm import bpe, langid, licences, media, mixing, neardup, repeats, tokenfile, topk, wrapper
 from evenhand.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op5(spark, sf):
     return repeats.removed(documents(spark, sf))
 
 
+@query("op6_licence_scan", licences.sql())
+def op6(spark, sf):
+    return licences.scan(documents(spark, sf)).drop("saved")
+
+
 @query("op7_token_file")
 def op7(spark, sf):
     return tokenfile.written_and_read(documents(spark, sf), VOCABULARY)
