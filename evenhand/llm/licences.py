@@ -1,13 +1,14 @@
 """6 License scans by conditional compression.
 
-Candidate blocks are the sentences that hold a word of licence language, and runs of neighbouring lines that do. Each block is compressed
+Candidate blocks are the sentences that hold a word of licence language, and each line that does, with the line before it and as
+many after it as the longest template may fill. Each block is compressed
 alone and once with every template's wording as zstandard raw dictionary; templates rank by the share of bytes that their
 dictionary saves, as text that is said in the template's own words needs hardly any bytes beside it. The best
 ``finalists`` are then compared word by word: the winner is the one with the fewest differing words, and it is confirmed when
 they are at most ``tolerance`` of its words and all its key words (names and version numbers) stand in the text as they are.
 
 Defined results: null and empty texts and texts without licence language have no findings; findings of one text don't overlap, the
-one with more agreeing words stays; equal savings rank by template name; repeated rows give equal findings; a null doc_id stays null.
+one with more agreeing words, less the differing ones, stays; equal savings rank by template name; repeated rows give equal findings; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -55,24 +56,23 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), *m.span()) for m in WORD.finditer(text)]
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Offsets of candidate blocks."""
+def blocks(text: str, reach: int) -> Iterator[tuple[int, int]]:
+    """Offsets of candidate blocks; ``reach``: words of the longest template."""
     low = text.lower() if len(text.lower()) == len(text) else text
     if not any(w in low for w in LANGUAGE):
         return
     for m in SENTENCE.finditer(text):
         if any(w in low[m.start() : m.end()] for w in LANGUAGE):
             yield m.span()
-    start, at, lines = None, 0, 0
-    for line in [*low.split("\n"), ""]:
-        if any(w in line for w in LANGUAGE):
-            start = at if start is None else start
-            lines += 1
-        elif start is not None:
-            if lines > 1:
-                yield start, at - 1
-            start, lines = None, 0
-        at += len(line) + 1
+    lines = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)]
+    for i, (a, b) in enumerate(lines):
+        if len(lines) > 1 and any(w in low[a:b] for w in LANGUAGE):
+            j, n = i, text.count(" ", a, b) + 1
+            while j + 1 < len(lines) and n < reach:
+                j += 1
+                n += text.count(" ", *lines[j]) + 1
+            if j > i or i:
+                yield lines[max(0, i - 1)][0], lines[j][1]
 
 
 class Scanner:
@@ -85,6 +85,7 @@ class Scanner:
             self.with_template[name] = zstandard.ZstdCompressor(level=6, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.words[name] = [w for w, _, _ in words_of(wording)]
             self.keys[name] = set(keys.split())
+        self.reach = max(map(len, self.words.values()))
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """Templates by the share of the block's compressed size that they save."""
@@ -97,6 +98,9 @@ class Scanner:
         own = self.words[name]
         match = SequenceMatcher(None, [w for w, _, _ in words], own, autojunk=False)
         same = [m for m in match.get_matching_blocks() if m.size]
+        for at, step in ((0, 1), (-1, -1)):  # single words that agree far from the rest are chance
+            while len(same) > 1 and same[at].size < abs((same[at + step].a - same[at].a) - (same[at + step].b - same[at].b)):
+                same.pop(at)
         if not same:
             return None
         first, last = same[0].a, same[-1].a + same[-1].size
@@ -109,7 +113,7 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
         """(start, stop, licence, saved share, differing words) of the findings in a text."""
         found = []
-        for a, b in blocks(text) if text else ():
+        for a, b in blocks(text, self.reach) if text else ():
             words = words_of(text[a:b])
             best = None
             for saved, name in self.ranked(text[a:b])[: self.finalists]:
@@ -118,7 +122,7 @@ class Scanner:
                     best = ((-got[1] + got[0], -saved), name, saved, got)
             if best:
                 _, name, saved, (differ, agree, start, stop) = best
-                found.append((agree, a + start, a + stop, name, saved, differ))
+                found.append((agree - differ, a + start, a + stop, name, saved, differ))
         kept: list[tuple] = []
         for f in sorted(found, key=lambda f: (-f[0], f[1], f[3])):
             if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):

@@ -4,7 +4,7 @@ Segment layout (little endian): the magic ``EHT1``; id width in bytes (u32); doc
 ids of the part before this segment (u64 each); the boundaries (start of each document and the end) and the doc_ids of the
 other documents, each as an Elias-Fano sequence; then all ids. A sequence of n ascending numbers below u holds
 floor(log2(u / n)) low bits of each number as they are, and the high bits in unary: the i-th number's bit stands at (high bits) + i. To
-find the i-th set bit, the place of every 256th one is kept in 32 bits, so a boundary costs 2 + log2(u / n) bits and an eighth
+find the i-th set bit, the place of every 256th one is kept in 32 bits, so a boundary costs at most 3 + log2(u / n) bits and an eighth
 of one, not 64.
 
 Segments are rows of a Parquet table (part, seq, payload), so that any file system and commit protocol that Spark knows serves
