@@ -105,13 +105,13 @@ def remove_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """docs without their repeats: ``text`` is what stays, ``n_chars`` its length if there is such a column; documents of which
     nothing but white space stays go, those that had no text before stay."""
     spans = written(repeat_spans(docs, min_words), "repeat_spans")
-    base = docs.withColumn("__id", own_id()).join(spans.withColumnRenamed("id", "__id"), "__id", "left")
+    base = docs.withColumn("__id", own_id()).join(spans.select(F.col("id").alias("__id"), F.col("spans").alias("__spans")), "__id", "left")
     pieces = F.transform(
-        F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("spans.stop")).alias("a"), F.concat(F.col("spans.start"), F.array(F.length("text"))).alias("b")),
+        F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("__spans.stop")).alias("a"), F.concat(F.col("__spans.start"), F.array(F.length("text"))).alias("b")),
         lambda s: F.substring(F.col("text"), s["a"] + 1, s["b"] - s["a"]),
     )
-    base = base.withColumn("__text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat_ws("", pieces)))
-    base = base.where(F.col("spans").isNull() | (F.regexp_replace("__text", r"\s+", "") != ""))
+    base = base.withColumn("__text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat_ws("", pieces)))
+    base = base.where(F.col("__spans").isNull() | (F.regexp_replace("__text", r"\s+", "") != ""))
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("bigint")}
     return base.select([new[c].alias(c) if c in new else F.col(q) for c, q in zip(docs.columns, quoted(docs), strict=True)])
 
