@@ -45,9 +45,9 @@ def uni_and_bigrams(text: Column, stop=STOP_WORDS) -> Column:
     return F.concat(t, word_pairs(t))
 
 
-def sentences(text: Column) -> Column:
-    """Split after . ! or ? when white space follows."""
-    return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s) != "")
+def sentences(text: Column, ends: str = ".!?") -> Column:
+    """Split after an end character when white space follows."""
+    return F.filter(F.split(F.regexp_replace(text, rf"([{ends}])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s) != "")
 
 
 def count_matches(text: Column, pattern: str) -> Column:

@@ -258,13 +258,13 @@ INVISIBLE = "​‌‍⁠﻿"
 
 
 def normalise(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Compatibility form, one kind of dash, no zero-width characters, lower case, single spaces.
+    """Compatibility form, one kind of dash, no zero-width characters, folded case, single spaces.
 
     ASCII rows never leave the JVM; the others go through one Arrow function for the compatibility form.
     """
     @F.pandas_udf("string")
     def compat(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
     ascii_only = F.col(column).rlike(r"^[\x00-\x7F]*$")
     wide = df.withColumn("__c", F.when(ascii_only, F.col(column)))
@@ -315,7 +315,7 @@ POINTS_BACK = r"\b(it|its|they|them|their|this|that|these|those|he|she|him|her|h
 
 def sub_queries(queries: DataFrame, column: str = "text", most: int = 3, least: int = 3) -> DataFrame:
     """Adds sub_queries: parts at sentence ends and at and / also / as well as, if both sides can stand alone; nothing is dropped."""
-    sents = X.sentences(F.lower(F.col(column)))
+    sents = X.sentences(F.lower(F.col(column)), ".!?;")
     n_words = lambda s: F.size(F.split(F.trim(s), r"\s+"))
 
     def join_pieces(acc, p):

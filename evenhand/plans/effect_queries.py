@@ -192,7 +192,7 @@ def c13(spark, sf):
     units = T.planted(spark, sf)
     for a in cfg.ARMS:
         units = units.withColumn(f"e_{a}", F.col(f"e_true_{a}"))
-    return rnd(N.matching(units, replicates=20), 4)
+    return rnd(N.matching(units, replicates=100), 4)
 
 
 @query("c14_outcome_models", V.rounded("select cell, fold, arm, mu from nz", ["cell", "fold", "arm"], ["mu"],
@@ -355,7 +355,7 @@ def c20(spark, sf):
 @query("c21_dr_learner_trees")
 def c21(spark, sf):
     sc = E.scored_cohort(T.planted(spark, sf))
-    got = M.tree_effect(sc, ["x1", "b1", "b2"], "phi_A", "phi_B", trees=10)
+    got = M.tree_effect(sc, ["x1", "b1", "b2"], "phi_A", "phi_B")
     return rnd(got.agg(F.avg("tau").alias("mean_effect"),
                        F.sqrt(F.avg((F.col("tau") - (F.col("mu_true_A") - F.col("mu_true_B"))) ** 2)).alias("pehe"),
                        F.count(F.lit(1)).alias("n")), 4)

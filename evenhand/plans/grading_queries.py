@@ -18,7 +18,7 @@ from evenhand.sources import literals as LT
 from evenhand.sources import tables as T
 
 ARMS = cfg.ARMS
-REPS = 6
+REPS = 20
 MIN_E = 0.2
 TG = [(a, a, None) for a in ARMS] + [(f"{a}-{b}", a, b) for a, b in V.CONTRASTS]
 
@@ -370,7 +370,7 @@ def _metric_sql(by):
 
 
 def _tq(n):
-    return f"(case {n} " + " ".join(f"when {k + 1} then {v}" for k, v in sorted(G.T_975.items()) if k <= 10) + " end)"
+    return f"(case {n} " + " ".join(f"when {k + 1} then {v}" for k, v in sorted(G.T_975.items()) if k <= 30) + " end)"
 
 
 def _mean_ci_sql(src, by):

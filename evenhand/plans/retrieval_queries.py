@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evenhand import config as cfg
@@ -115,7 +117,7 @@ def h07(spark, sf):
     return f.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(rb).alias("bm25_ranks"), F.sum(rv).alias("vector_ranks"), F.sum(rb * p).alias("bm25_check"), F.sum(rv * p).alias("vector_check"))
 
 
-@query("h08_normalise", r"select doc_id, md5(trim(regexp_replace(lower(translate(nfc_normalize(text),'‐‑‒–—−','------')),'\s+',' ','g'))) fingerprint from documents")
+@query("h08_normalise", r"select doc_id, md5(trim(regexp_replace(replace(lower(translate(nfc_normalize(text),'‐‑‒–—−','------')),'ß','ss'),'\s+',' ','g'))) fingerprint from documents")
 def h08(spark, sf):
     """The documents hold no compatibility characters, so the canonical form of SQL is the same here; the others are tested on fixtures."""
     return H.normalise(T.table(spark, sf, "documents"), "text", "norm").select("doc_id", F.md5("norm").alias("fingerprint"))
@@ -316,7 +318,7 @@ def h20_unknown(spark, sf):
 def a10(spark, sf):
     """Write postings, term and corpus statistics, read them back, and score from the saved tables."""
     p = passages(spark, sf)
-    root = shared_dir(spark, "evenhand_index")
+    root = shared_dir(spark, f"evenhand_index_{uuid.uuid4().hex[:12]}")
     post = H.postings(p)
     post.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(16)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
     saved = spark.read.parquet(f"{root}/postings").drop("bucket")
@@ -335,7 +337,7 @@ def gold(spark, sf):
     return I.expected_places(I.gold_passages(items(spark, sf), p), p)
 
 
-GOLD = """gd as (select query_id, min(pos) gp from qi join ps on contains(ps.text, substr(qi.text,1,60)) group by 1), ex as (select query_id, source es, section esec from gd join ps on pos=gp),
+GOLD = """gd as (select query_id, min(pos) gp from qi join ps on contains(ps.text, qi.text) group by 1), ex as (select query_id, source es, section esec from gd join ps on pos=gp),
  nr as (select query_id, count(*) n_relevant from ex join ps on source=es and contains(lower(section),lower(esec)) group by 1)"""
 FLAGS = FUSED + "," + GOLD + """, fl as (select tp.query_id, "rank", pos, case when source=es and contains(lower(section),lower(esec)) then 1 else 0 end flag from tp join ps using (pos) join ex using (query_id))"""
 
@@ -368,15 +370,16 @@ def i02(spark, sf):
    from qi left join ex using (query_id) left join gt8 using (query_id) left join me using (query_id) left join cz using (query_id))""", ["n", "cast(dose_leaks as bigint) dose_leaks"], ["recall", "answered", "abstention_accuracy", "citation_precision"],
    ctes=COVER.replace("union select query_id, asked, e from ak join eq using (query_id, asked)", "") + "," + GOLD + """, fl as (select tp.query_id, "rank", pos, case when source=es and contains(lower(section),lower(esec)) then 1 else 0 end flag from tp join ps using (pos) join ex using (query_id)),
    me as (select query_id, max(flag)*1.0 recall from fl join gt8 using (query_id) where status='SUCCESS' group by 1),
-   cz as (select query_id, count(*) cited, sum(case when contains(lower(text), lower(substr(section,1,10))) then 1 else 0 end) good, sum(case when regexp_matches(text, '""" + G._DOSE_SQL + """') then 1 else 0 end) dose from tp join ps using (pos) join gt8 using (query_id) where status='SUCCESS' group by 1)"""))
+   cz as (select query_id, count(*) cited, sum(case when source=es and contains(lower(section),lower(esec)) then 1 else 0 end) good, sum(case when regexp_matches(text, '""" + G._DOSE_SQL + """') then 1 else 0 end) dose from tp join ps using (pos) join gt8 using (query_id) left join ex using (query_id) where status='SUCCESS' group by 1)"""))
 def i03(spark, sf):
     p, q, g = passages(spark, sf), items(spark, sf), gold(spark, sf)
     f = H.hybrid(p, q)
     gate = H.abstention(q, f, p, **LIMITS)
     best = best_passages(spark, sf, f).join(gate.where("status = 'SUCCESS'").select("query_id"), "query_id", "left_semi")
     rec = I.relevance_flags(best, p, g).groupBy("query_id").agg(F.max("flag").alias("recall"))
-    cited = best.join(p, "pos").groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_cited"), F.sum(F.contains(F.lower("text"), F.lower(F.substring("section", 1, 10))).cast("bigint")).alias("n_good"),
+    flags = I.relevance_flags(best, p, g).select("query_id", "pos", "flag")
+    cited = best.join(p, "pos").join(flags, ["query_id", "pos"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_cited"), F.sum(F.coalesce("flag", F.lit(0)).cast("bigint")).alias("n_good"),
         F.sum(F.col("text").rlike(X.DOSE).cast("bigint")).alias("n_dose"))
     j = gate.join(g.select("query_id", F.lit("answerable").alias("category")), "query_id", "left").join(rec, "query_id", "left").join(cited, "query_id", "left")
     j = j.select("status", F.coalesce("category", F.lit("out_of_scope")).alias("category"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("recall", "n_cited", "n_good", "n_dose")])
@@ -407,14 +410,14 @@ def two_rankings(spark, sf):
 
 
 @query("i05_paired_bootstrap", V.rounded("""select avg(diff) diff, any_value(lo) ci_low, any_value(hi) ci_high, count(*) filter (diff>1e-12) wins, count(*) filter (diff < -1e-12) losses, count(*) filter (abs(diff)<=1e-12) ties, count(*) n from pr,
-  (select quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi from (select rep, avg(diff) m from (select rep, cast(floor(""" + V.u("'draw:'||cast(rep as varchar)", "s.i") + """*(select count(*) from pr)) as bigint) k from pr s, range(1,501) r(rep)) d join pr on pr.i=d.k group by 1))""",
+  (select quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi from (select rep, avg(diff) m from (select rep, cast(floor(""" + V.u("'draw:'||cast(rep as varchar)", "s.i") + """*(select count(*) from pr)) as bigint) k from pr s, range(1,2001) r(rep)) d join pr on pr.i=d.k group by 1))""",
   ["wins", "losses", "ties", "n"], ["diff", "ci_low", "ci_high"], ctes=TWO_RANKINGS + ", pr as (select row_number() over (order by query_id)-1 i, m2.ndcg-m1.ndcg diff from m1 join m2 using (query_id))"))
 def i05(spark, sf):
     from evenhand.functions.ranking import global_rank
     m = two_rankings(spark, sf)
     d = m.groupBy("query_id").agg((F.max(F.when(F.col("variant") == "source_aware", F.col("ndcg"))) - F.max(F.when(F.col("variant") == "base", F.col("ndcg")))).alias("diff")).persist()
     pairs = global_rank(d, "query_id", "query_id", "i").withColumn("i", F.col("i") - 1)
-    return rnd(I.paired_bootstrap(pairs.persist(), 500))
+    return rnd(I.paired_bootstrap(pairs.persist()))
 
 
 @query("i06_setting_search")
@@ -422,7 +425,8 @@ def i06(spark, sf):
     p, q = passages(spark, sf), items(spark, sf)
     f = H.hybrid(p, q)
     g = materialise(gold(spark, sf), "gold")
-    parts = [metrics_of(spark, sf, source_ordered(spark, sf, d if d is not None else 15, fused=f), g).withColumn("setting", F.lit(str(d))).withColumn("decimals", F.lit(d).cast("int"))
+    train = I.stratified_split(g.select("query_id", F.lit("answerable").alias("stratum")), "query_id", "stratum", 0.34).where(~F.col("held_out")).select("query_id")
+    parts = [metrics_of(spark, sf, source_ordered(spark, sf, d if d is not None else 15, fused=f), g).join(train, "query_id").withColumn("setting", F.lit(str(d))).withColumn("decimals", F.lit(d).cast("int"))
              for d in (None, 4, 3, 2)]
     return rnd(I.best_setting(union_all(parts)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenhand import config as cfg
+from evenhand.functions import text as X
 from evenhand.functions.stats import rnd, union_all
 from evenhand.operators import effects as E
 from evenhand.operators import rules as R
@@ -215,7 +216,8 @@ def b13(spark, sf):
  union all select 'estimate', count(*) from ol where status='estimate' and not (ci_low<=value and value<=ci_high) having count(*)>0""")
 def b14(spark, sf):
     options = R.options_long(resolved(spark, sf)).persist()
-    bad = R.constraint_violations(options).groupBy("constraint").agg(F.count(F.lit(1)).alias("n"))
+    texts = options.withColumn("note", R.abstain_reason(F.col("status"), F.col("e")))
+    bad = R.constraint_violations(texts, ["note"], X.DOSE).groupBy("constraint").agg(F.count(F.lit(1)).alias("n"))
     return options.agg(F.lit("checked").alias("constraint"), F.count(F.lit(1)).alias("n")).unionByName(bad)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import functions as F
 
 from evenhand.functions import text as X
@@ -86,7 +89,7 @@ def j05(spark, sf):
                                     S.general_question(["cause", "causes", "risk"], ["now", "today"]).alias("general")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_INJ = "(array_to_string(w,' ')||' ' like '%ignore previous %' or regexp_matches(text,'<\\|[a-z_ ]{2,20}\\|>|\\[/?INST\\]|<</?SYS>>') or len(list_filter(regexp_extract_all(text,'[A-Za-z0-9+/=]{40,}'), lambda r: regexp_matches(r,'[a-z]') and regexp_matches(r,'[A-Z]') and regexp_matches(r,'[0-9]')))>0)"
+_INJ = "(array_to_string(w,' ')||' ' like '%ignore previous %' or regexp_matches(text,'<\\|[a-z_ ]{2,20}\\|>|\\[/?INST\\]|<</?SYS>>|(?im:^\\s*(?:system|assistant|developer)\\s*:)') or len(list_filter(regexp_extract_all(text,'[A-Za-z0-9+/=]{40,}'), lambda r: regexp_matches(r,'[a-z]') and regexp_matches(r,'[A-Z]') and regexp_matches(r,'[0-9]')))>0)"
 
 
 @query("j06_injection", "with " + TX + f" select k, {_INJ} injection, count(*) n from tx group by all")
@@ -111,11 +114,15 @@ def j08(spark, sf):
     return texts(spark, sf).groupBy("k", F.col("text").rlike(S.AMOUNT_REQUEST).alias("asks_amount")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j09_combined", "with " + TX + ", cb as (select k, case when regexp_matches(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') then 'identifier' when " + _INJ + " then 'injection' when (" + _LANG + ") is not null then 'length_language' when (" + _SCOPE + ") then 'scope' when " + _AMT +
+# a number with a check digit is a run of twelve digits, which the telephone pattern covers
+_ID = r"(regexp_matches(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') or regexp_matches(text,'\+?[0-9][0-9 ()-]{8,}[0-9]') or regexp_matches(text,'(^|[^A-Za-z])(?i:mr|mrs|ms|dr|prof)\.? +[A-Z][a-z]+'))"
+
+
+@query("j09_combined", "with " + TX + ", cb as (select k, case when " + _ID + " then 'identifier' when " + _INJ + " then 'injection' when (" + _LANG + ") is not null then 'length_language' when (" + _SCOPE + ") then 'scope' when " + _AMT +
        " then 'amount' end reason from tx) select k, case when reason is null then 'PASS' else 'BLOCK' end outcome, coalesce(reason,'') reason, count(*) n from cb group by all")
 def j09(spark, sf):
     t = F.col("text")
-    outcome, reason = S.combine([("identifier", S.identifiers(t)["email"]), ("injection", S.injection(t, ["ignore previous"])), ("length_language", S.length_or_language(t, ["und", "der"], ["the"]).isNotNull()),
+    outcome, reason = S.combine([("identifier", functools.reduce(operator.or_, S.identifiers(t).values())), ("injection", S.injection(t, ["ignore previous"])), ("length_language", S.length_or_language(t, ["und", "der"], ["the"]).isNotNull()),
                                  ("scope", S.out_of_scope(t, ["tablets"], CUES, ["approved", "indicated"])), ("amount", t.rlike(S.AMOUNT_REQUEST))])
     return texts(spark, sf).groupBy("k", outcome.alias("outcome"), F.coalesce(reason, F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -131,7 +138,7 @@ def j10(spark, sf):
 
 @query("j11_extractive_answer", "with " + Q.FUSED + f""", sn as (select query_id, "rank", tp.pos, unnest({_SENT}) sentence, unnest(range(len({_SENT}))) j from tp join ps on ps.pos=tp.pos),
  s2 as (select * from sn where len(list_filter(regexp_split_to_array(trim(sentence),'\\s+'), lambda x: x<>''))>=4 and not regexp_matches(sentence,'{Q.G._DOSE_SQL}')),
- q2 as (select query_id, term, idf from qt join tt using (term)), ta as (select query_id, sum(idf) a from q2 group by 1), st2 as (select query_id, "rank", pos, j, sentence, unnest(list_distinct({Q.toks('sentence')})) term from s2),
+ q2 as (select query_id, term, coalesce(idf, (select max(idf) from tt)) idf from qt left join tt using (term)), ta as (select query_id, sum(idf) a from q2 group by 1), st2 as (select query_id, "rank", pos, j, sentence, unnest(list_distinct({Q.toks('sentence')})) term from s2),
  s3 as (select query_id, "rank", pos, j, sentence, round(sum(idf)/any_value(a),9) score from st2 join q2 using (query_id, term) join ta using (query_id) group by 1,2,3,4,5),
  s4 as (select * from s3 qualify row_number() over (partition by query_id, pos order by score desc, j)<=2), s5 as (select *, row_number() over (partition by query_id order by score desc, "rank", j) n from s4)
  select query_id, cast(n as int) n, pos, md5(sentence) sentence, round(score,5) score from s5 where n<=4""")
@@ -166,7 +173,7 @@ def j12(spark, sf):
     return rnd(r.groupBy("claim_no", F.coalesce("problem", F.lit("")).alias("problem")).agg(F.count(F.lit(1)).alias("n"), F.sum("support").alias("support")), 5)
 
 
-_NORM = "list_distinct(list_transform(regexp_extract_all({c},'[0-9]+(?:\\.[0-9]+)?'), lambda x: cast(try_cast(x as double) as varchar)))"
+_NORM = "list_distinct(list_transform(regexp_extract_all({c},'(?:^|[^\\pL0-9_.])([0-9]+(?:\\.[0-9]+)?)', 1), lambda x: case when contains(x,'.') then rtrim(rtrim(x,'0'),'.') else x end))"
 
 
 @query("j13_number_check", "with " + CLAIMS + ", nm as (select claim_no, len(list_filter(" + _NORM.format(c="text") + ", lambda x: not list_contains(" + _NORM.format(c="p") + ", x))) bad from cz) select claim_no, bad, count(*) n from nm group by all")
@@ -189,14 +196,20 @@ def j14(spark, sf):
     return c.groupBy("claim_no", has("amount shape").alias("a"), has("excluded option praised").alias("b"), has("causal wording").alias("c")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j15_verdict", "with " + CLAIMS + """, vd as (select claim_no, problem='not supported' unsupported, problem='no citation' uncited, problem='cites a passage that is not shown' unknown_passage from cz)
- select claim_no, case when coalesce(unknown_passage,false) then 'BLOCK' when coalesce(uncited,false) then 'ABSTAIN' when coalesce(unsupported,false) then 'FALLBACK' else 'PASS' end verdict, coalesce(case when unknown_passage then 'unknown_passage' when uncited then 'uncited' when unsupported then 'unsupported' end,'') first_reason, count(*) n from vd group by all""")
+@query("j15_verdict", "with " + CLAIMS + ", nm as (select *, problem is null kept, len(list_filter(" + _NORM.format(c="text") + ", lambda x: not list_contains(" + _NORM.format(c="p") + ", x)))>0 bad_number, " + _ID + """ ident from cz),
+ dr as (select answer_id, bool_or(ident) has_identifier, bool_or(kept and bad_number) wrong_number, bool_or(kept and regexp_matches(text,'12\\.50')) amount_shape, not bool_or(kept) no_claim_left, count(*) filter (kept) kept, count(*) filter (not kept) dropped from nm group by 1)
+ select case when has_identifier then 'BLOCK' when wrong_number or amount_shape then 'FALLBACK' when no_claim_left then 'ABSTAIN' else 'PASS' end verdict, case when has_identifier then 'has_identifier' when wrong_number then 'wrong_number' when amount_shape then 'amount_shape' when no_claim_left then 'no_claim_left' else '' end first_reason, kept, dropped, count(*) n from dr group by all""")
 def j15(spark, sf):
-    r = N.check_citations(*claims(spark, sf))
-    p = F.coalesce("problem", F.lit(""))
-    r = r.select("claim_no", (p == "not supported").alias("unsupported"), (p == "no citation").alias("uncited"), (p == "cites a passage that is not shown").alias("unknown_passage"))
-    v = N.verdict(r, ["unknown_passage"], ["uncited"], ["unsupported"])
-    return v.groupBy("claim_no", "verdict", F.coalesce("first_reason", F.lit("")).alias("first_reason")).agg(F.count(F.lit(1)).alias("n"))
+    """One row per draft: claims that fail the citation check are dropped, the others decide."""
+    c, p = claims(spark, sf)
+    r = N.check_citations(c, p).join(p.select("answer_id", F.col("text").alias("allowed")), "answer_id")
+    kept, t = F.col("problem").isNull(), F.col("text")
+    r = r.select("answer_id", kept.alias("kept"), functools.reduce(operator.or_, S.identifiers(t).values()).alias("ident"),
+                 (kept & (F.size(N.unmatched_numbers(t, F.col("allowed"))) > 0)).alias("number"), (kept & t.rlike(r"12\.50")).alias("shape"))
+    d = r.groupBy("answer_id").agg(F.bool_or("ident").alias("has_identifier"), F.bool_or("number").alias("wrong_number"), F.bool_or("shape").alias("amount_shape"), (~F.bool_or("kept")).alias("no_claim_left"),
+                                   F.sum(F.col("kept").cast("bigint")).alias("kept"), F.sum((~F.col("kept")).cast("bigint")).alias("dropped"))
+    v = N.verdict(d, ["has_identifier"], ["wrong_number", "amount_shape"], ["no_claim_left"])
+    return v.groupBy("verdict", F.coalesce("first_reason", F.lit("")).alias("first_reason"), "kept", "dropped").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j16_packing")

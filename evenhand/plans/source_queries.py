@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evenhand.functions.stats import rnd
@@ -158,7 +160,7 @@ def a08(spark, sf):
 @query("a09_write_metrics", V.rounded(C._s, ["target"], C.NUM, 4, V.COHORT + "," + C._c))
 def a09(spark, sf):
     got = E.naive(E.cell_stats(T.cohort(spark, sf)))
-    path = shared_dir(spark, "evenhand_metrics")
+    path = shared_dir(spark, f"evenhand_metrics_{uuid.uuid4().hex[:12]}")
     S.write_metrics(got, path, ["target", "value", "se", "ci_low", "ci_high"], "csv")
     return S.read_metrics(spark, path, "target string, value double, se double, ci_low double, ci_high double", "csv")
 

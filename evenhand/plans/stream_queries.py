@@ -78,7 +78,7 @@ def l02(spark, sf):
     return t.groupBy(F.col("level").cast("bigint").alias("level"), "wait", "locked").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("l03_sliding_block", """select user_id, count(*) n, max(r) most, count(*) filter (r>=2) blocked from (select user_id, count(*) over (partition by user_id order by s range between 900 preceding and current row) r from (select user_id, floor(epoch(ts)) s from events where event_type='error')) group by 1""")
+@query("l03_sliding_block", """select user_id, count(*) n, max(r) most, count(*) filter (r>=2) blocked from (select user_id, count(*) over (partition by user_id order by s range between 899 preceding and current row) r from (select user_id, floor(epoch(ts)) s from events where event_type='error')) group by 1""")
 def l03(spark, sf):
     sec = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     e = events(spark, sf).withColumn("sec", sec.cast("bigint"))

@@ -78,13 +78,13 @@ def throttle_stream(events: DataFrame, key: str, order: str, failed: Column, suc
 
 
 def sliding_failures(events: DataFrame, key: str, seconds: str, failed: Column, span: int = 900, limit: int = 50) -> DataFrame:
-    """Adds recent (failures of the key in the last ``span`` seconds, this one included) and blocked to failures.
+    """Adds recent (failures of the key less than ``span`` whole seconds ago, this one included) and blocked to failures.
 
     A row joins its own time slice and, as history, the next one; slices of one key are counted apart.
     """
     e = events.where(failed).withColumn("__home", F.floor(F.col(seconds) / span))
     e = e.withColumn("__slice", F.explode(F.array(F.col("__home"), F.col("__home") + 1)))
-    w = W.partitionBy(key, "__slice").orderBy(seconds).rangeBetween(-span, 0)
+    w = W.partitionBy(key, "__slice").orderBy(seconds).rangeBetween(1 - span, 0)
     r = e.withColumn("recent", F.count(F.lit(1)).over(w)).where(F.col("__home") == F.col("__slice"))
     return r.withColumn("blocked", F.col("recent") >= limit).drop("__home", "__slice")
 
