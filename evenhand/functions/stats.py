@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def fsum(columns) -> Column:
@@ -32,3 +33,10 @@ def unpivot(df: DataFrame, keys, columns, name: str = "covariate", value: str =
     """Long form of some columns; values become doubles."""
     wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     return wide.unpivot(list(keys), list(columns), name, value)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df for a broadcast, its size checked as it runs: with more than ``most`` rows the query ends with an error and nothing is broadcast."""
+    n = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
+    within = F.when(F.col("__rows") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} rows to broadcast")))
+    return F.broadcast(df.withColumn("__rows", n).where(within).drop("__rows"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evenhand import config as cfg
 from evenhand.functions.hashing import hash_key, noise, uniform
 from evenhand.functions.ranking import exact_quantiles, hash_threshold
-from evenhand.functions.stats import fsum, union_all
+from evenhand.functions.stats import fsum, small, union_all
 from evenhand.operators import effects as E
 
 
@@ -145,7 +145,7 @@ def placebo_arms(units: DataFrame, repeats: int, arms=cfg.ARMS) -> DataFrame:
     arm = F.lit(arms[-1])
     for i in reversed(range(len(cuts))):
         arm = F.when(F.col("__key") <= F.coalesce(F.col(f"__c{i}"), F.lit("")), arms[i]).otherwise(arm)
-    return rep.join(wide, "rep").withColumn("arm", arm).drop("__key", *[f"__c{i}" for i in range(len(cuts))])
+    return rep.join(small(wide), "rep").withColumn("arm", arm).drop("__key", *[f"__c{i}" for i in range(len(cuts))])
 
 
 def placebo_estimates(folded: DataFrame, repeats: int = 20, arms=cfg.ARMS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from evenhand import config as cfg
 from evenhand.functions.hashing import hash_key
 from evenhand.functions.ranking import exact_quantiles, hash_rank
-from evenhand.functions.stats import fsum, union_all
+from evenhand.functions.stats import fsum, small, union_all
 
 
 def pick(prefix: str, arm: Column, arms) -> Column:
@@ -259,7 +259,7 @@ def stratified_effect(scored: DataFrame, first: str, second: str, strata=(5,), z
 
 def unit_scores(units: DataFrame, wide: DataFrame, arms=cfg.ARMS) -> DataFrame:
     """Adds e_<arm>, mu_<arm> and the doubly robust score phi_<arm> to every unit (joined on cell and fold)."""
-    j = units.join(wide.drop("outcome"), ["cell", "fold"])
+    j = units.join(small(wide.drop("outcome")), ["cell", "fold"])  # a row per cell and fold
     phi = [
         (F.col(f"mu_{a}") + F.when(F.col("arm") == a, (F.col("y") - F.col(f"mu_{a}")) / F.col(f"e_{a}")).otherwise(0.0)).alias(f"phi_{a}")
         for a in arms
@@ -333,7 +333,7 @@ def x_learner(units: DataFrame, x: str, first: str, second: str) -> DataFrame:
     """X-learner: cell means impute the other arm, a line in ``x`` smooths each arm's effects, propensity blends them."""
     two = units.where(F.col("arm").isin(first, second))
     base = cell_means(two, (first, second))
-    j = two.join(base, "cell")
+    j = two.join(small(base), "cell")
     effect = F.when(F.col("arm") == first, F.col("y") - F.col(f"t_{second}")).otherwise(F.col(f"t_{first}") - F.col("y"))
     j = j.withColumn("__d", effect)
     fits = j.groupBy("arm").agg(F.regr_slope("__d", x).alias("b"), F.regr_intercept("__d", x).alias("a"))

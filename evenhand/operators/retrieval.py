@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from evenhand.functions import text as X
 from evenhand.functions.ranking import global_rank, value_bucket
-from evenhand.functions.stats import union_all
+from evenhand.functions.stats import small, union_all
 from evenhand.session import materialise
 
 K1, B, RRF_K, TOP_K, MIN_SCORE, MIN_COVERAGE = 1.5, 0.75, 60, 5, 1.0, 0.6
@@ -377,7 +377,7 @@ def source_order(fused: DataFrame, passages: DataFrame, register: DataFrame, que
     hits = F.lit(0)
     for c in conditions:
         hits = hits + F.contains(text, F.lit(c)).cast("int")
-    p = passages.select("pos", "source", F.array_distinct(X.tokens(F.col("section"), stop)).alias("__sec"), hits.alias("condition_match")).join(F.broadcast(reg), "source")
+    p = passages.select("pos", "source", F.array_distinct(X.tokens(F.col("section"), stop)).alias("__sec"), hits.alias("condition_match")).join(small(reg), "source")
     q = queries.select("query_id", F.array_distinct(X.tokens(F.col("text"), stop)).alias("__q"))
     j = fused.join(p, "pos").join(q, "query_id").withColumn("section_match", F.size(F.array_intersect("__sec", "__q"))).drop("__sec", "__q")
     return top_k(j, [F.desc(F.round("rrf", decimals)), "tier_no", "relevance_no", F.desc("section_match"), F.desc("condition_match"), F.desc("rrf"), "pos"], k)

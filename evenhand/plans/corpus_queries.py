@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenhand.functions import text as X
-from evenhand.functions.stats import rnd
+from evenhand.functions.stats import rnd, small
 from evenhand.operators import corpus as K
 from evenhand.plans import source_queries as A
 from evenhand.plans.registry import query
@@ -157,7 +157,7 @@ def g08(spark, sf):
 def g09(spark, sf):
     s = K.split_sections(headed(spark, sf), keys=("doc_id", "source"))
     reg = A.register(spark).withColumnRenamed("id", "source")
-    j = s.join(F.broadcast(reg), "source").select("source", S.is_cleared().alias("ready"), K.source_label().alias("label"))
+    j = s.join(small(reg), "source").select("source", S.is_cleared().alias("ready"), K.source_label().alias("label"))
     return j.groupBy("source", "ready").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"), F.min("label").alias("first_label"))
 
 

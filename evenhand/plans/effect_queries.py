@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenhand import config as cfg
-from evenhand.functions.stats import rnd, union_all
+from evenhand.functions.stats import rnd, small, union_all
 from evenhand.operators import effects as E
 from evenhand.operators import linear as L
 from evenhand.operators import learners as M
@@ -145,7 +145,7 @@ def _strata_sql(ks):
 def _strata(spark, sf, ks):
     two = T.cohort(spark, sf).where(F.col("arm").isin("A", "B")).withColumn("fold", F.lit(0))
     wide = E.widen(E.cell_nuisance(E.cell_stats(two), ("A", "B"), cross_fit=False), ("A", "B"))
-    scored = two.join(wide.select("cell", F.col("e_A").alias("e")), "cell").select("arm", "y", "e")
+    scored = two.join(small(wide.select("cell", F.col("e_A").alias("e"))), "cell").select("arm", "y", "e")
     got = E.stratified_effect(scored, "A", "B", ks)
     return rnd(got.select("n_strata", "value", "se", "ci_low", "ci_high", F.col("n").cast("bigint").alias("n"),
                           F.col("skipped").cast("bigint").alias("skipped")))
@@ -271,7 +271,7 @@ _TLP = "coalesce((select m from tm where tm.cell=p.cell and tm.arm='{a}'),(selec
     ctes=_TL + ", p2 as (select p.*, " + ",".join(_TLP.format(a=a) + f" p_{a}" for a in cfg.ARMS) + " from planted p)"))
 def c18_t(spark, sf):
     units = T.planted(spark, sf)
-    pred = units.join(E.cell_means(units), "cell")
+    pred = units.join(small(E.cell_means(units)), "cell")
     return M.grade_levels(pred, "t")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenhand import config as cfg
-from evenhand.functions.stats import rnd, union_all
+from evenhand.functions.stats import rnd, small, union_all
 from evenhand.operators import diagnostics as D
 from evenhand.operators import effects as E
 from evenhand.operators import grading as G
@@ -38,7 +38,7 @@ def levels(spark, sf):
     sc = E.scored_cohort(T.planted(spark, sf))
     means = sc.groupBy().agg(*[F.avg(F.when(F.col("arm") == a, F.col("y"))).alias(f"n_{a}") for a in ARMS])
     t = E.cell_means(sc.select("unit_id", "cell", "arm", "y")).select("cell", *[f"t_{a}" for a in ARMS])
-    out = E.s_learner(sc, sc.join(t, "cell"), "x1").crossJoin(F.broadcast(means))
+    out = E.s_learner(sc, sc.join(small(t), "cell"), "x1").crossJoin(F.broadcast(means))
     out = R.verdict_columns(out, LT.PLANTED_RULES)
     return out.select("*", *[(~F.col(f"excluded_{a}")).alias(f"safe_{a}") for a in ARMS],
                       *[(~F.col(f"excluded_{a}") & (F.col(f"e_{a}") >= MIN_E)).alias(f"allowed_{a}") for a in ARMS])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evenhand import config as cfg
 from evenhand.functions import text as X
-from evenhand.functions.stats import rnd, union_all
+from evenhand.functions.stats import rnd, small, union_all
 from evenhand.operators import corpus as K
 from evenhand.operators import ireval as I
 from evenhand.operators import retrieval as H
@@ -255,13 +255,13 @@ def h16(spark, sf):
 @query("h16_latest_versions", "with " + ORDER_SQL + " select id, title, version, count(*) n_docs from rl join documents on source=id group by all")
 def h16_latest(spark, sf):
     reg = H.latest_versions(A.register(spark))
-    return T.table(spark, sf, "documents").join(F.broadcast(reg), F.col("source") == F.col("id")).groupBy("id", "title", "version").agg(F.count(F.lit(1)).alias("n_docs"))
+    return T.table(spark, sf, "documents").join(small(reg), F.col("source") == F.col("id")).groupBy("id", "title", "version").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def bundles(spark, sf):
     d = G.dosed(spark, sf)
     p = d.select(F.col("doc_id").alias("pos"), X.dose_free(F.col("text")).alias("text"), "source", F.substring_index("text", "\n", 1).alias("section"))
-    shown = d.select(F.col("doc_id").alias("pos"), "text", "source").join(F.broadcast(A.register(spark).withColumnRenamed("id", "source")), "source")
+    shown = d.select(F.col("doc_id").alias("pos"), "text", "source").join(small(A.register(spark).withColumnRenamed("id", "source")), "source")
     q = items(spark, sf)
     f = H.hybrid(p, q)
     gate = H.abstention(q, f, p, **LIMITS)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evenhand import config as cfg
 from evenhand.functions import text as X
-from evenhand.functions.stats import rnd, union_all
+from evenhand.functions.stats import rnd, small, union_all
 from evenhand.operators import effects as E
 from evenhand.operators import rules as R
 from evenhand.plans import effect_queries as C
@@ -99,7 +99,7 @@ def b06(spark, sf):
 def flagged(spark, sf):
     """Cohort units with a cell-mode effect of A against B, flags and severity."""
     units = T.cohort(spark, sf)
-    j = units.join(E.cell_means(units), "cell").withColumn("effect", F.col("t_A") - F.col("t_B"))
+    j = units.join(small(E.cell_means(units)), "cell").withColumn("effect", F.col("t_A") - F.col("t_B"))
     x1, x2, e = F.col("x1"), F.col("x2"), F.col("effect")
     return R.severity_flags(j, [
         ("veto_low", 3, x1 < -1.2), ("warn_band", 2, (x1 >= -1.2) & (x1 < -0.9)), ("out_of_range", 2, (x2 < 5) | (x2 > 250)),

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from evenhand.functions.stats import rnd
+from evenhand.functions.stats import rnd, small
 from evenhand.operators import effects as E
 from evenhand.operators import rules as R
 from evenhand.plans import effect_queries as C
@@ -98,7 +98,7 @@ CLEARED_SQL = "(bucket='GREEN' and trim(checked_by)<>'' and not regexp_matches(l
 def a04(spark, sf):
     docs = T.table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     reg = register(spark).withColumnRenamed("id", "source")
-    return docs.join(F.broadcast(reg), "source").select("source", "title", "issuer", "version", "bucket", "n_docs")
+    return docs.join(small(reg), "source").select("source", "title", "issuer", "version", "bucket", "n_docs")
 
 
 @query("a05_part_numbers", """select source, count(*) n, max(part) last_part, cast(sum(part*doc_id) as bigint) checksum from
