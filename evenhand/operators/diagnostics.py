@@ -116,6 +116,13 @@ def confounder_strength(units: DataFrame, column: str, first: str, second: str,
     return one.select(rr_t.alias("rr_treatment"), rr_y.alias("rr_outcome"), F.least(rr_t, rr_y).alias("strength"))
 
 
+def strength_verdict(strength: DataFrame, sensitivity: DataFrame) -> DataFrame:
+    """Adds quoted (the E-value of the interval, else of the point) and whether the observed column is strong enough to erase the finding."""
+    quoted = F.when(F.col("evalue_ci") > 0, F.col("evalue_ci")).otherwise(F.col("evalue"))
+    j = strength.crossJoin(F.broadcast(sensitivity.select(quoted.alias("quoted"))))  # two one-row inputs
+    return j.withColumn("judgement", F.when(F.col("strength") >= F.col("quoted"), "erased").otherwise("survives"))
+
+
 def audit(overlap: DataFrame, balance: DataFrame, sensitivity: DataFrame, least: float = 1.25) -> DataFrame:
     """One row: safe to report only with overlap, balance and a robust interval (three one-row inputs)."""
     bad = balance.agg(F.sum((~F.col("balanced")).cast("bigint")).alias("n_unbalanced"))

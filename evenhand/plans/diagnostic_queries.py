@@ -87,12 +87,12 @@ def d05(spark, sf):
     return rnd(evalues(spark, sf))
 
 
-@query("d06_confounder_strength", V.rounded("""select greatest(pt,pl)/greatest(least(pt,pl),1e-9) rr_treatment, exp(0.91*abs(yt-yl)/sd) rr_outcome, least(greatest(pt,pl)/greatest(least(pt,pl),1e-9), exp(0.91*abs(yt-yl)/sd)) strength from (
+@query("d06_confounder_strength", V.rounded("""select greatest(pt,pl)/greatest(least(pt,pl),1e-9) rr_treatment, exp(0.91*abs(yt-yl)/sd) rr_outcome, least(greatest(pt,pl)/greatest(least(pt,pl),1e-9), exp(0.91*abs(yt-yl)/sd)) strength, q quoted, case when least(greatest(pt,pl)/greatest(least(pt,pl),1e-9), exp(0.91*abs(yt-yl)/sd))>=q then 'erased' else 'survives' end judgement from (select case when evalue_ci>0 then evalue_ci else evalue end q from ez where target='A-B'), (
    select avg(t) filter (x1>=hi) pt, avg(t) filter (x1<=lo) pl, avg(y) filter (x1>=hi) yt, avg(y) filter (x1<=lo) yl, stddev_samp(y) sd
    from (select *, case when arm='A' then 1.0 else 0.0 end t from planted where arm in ('A','B')), (select quantile_cont(x1,0.25) lo, quantile_cont(x1,0.75) hi from planted where arm in ('A','B')))""",
-   [], ["rr_treatment", "rr_outcome", "strength"], ctes=V.PLANTED))
+   ["judgement"], ["rr_treatment", "rr_outcome", "strength", "quoted"], ctes=EV_SQL))
 def d06(spark, sf):
-    return rnd(D.confounder_strength(T.planted(spark, sf), "x1", "A", "B"))
+    return rnd(D.strength_verdict(D.confounder_strength(T.planted(spark, sf), "x1", "A", "B"), evalues(spark, sf).where(F.col("target") == "A-B")))
 
 
 @query("d07_audit", V.rounded("""select verdict, n_unbalanced, evalue_ci, verdict<>'VIOLATED' and n_unbalanced=0 and evalue_ci>=1.25 safe_to_report from

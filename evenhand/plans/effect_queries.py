@@ -85,6 +85,14 @@ def c06(spark, sf):
     return rnd(nu.select("cell", "fold", "arm", "e_raw"))
 
 
+@query("c06_crossfit_logistic")
+def c06_logistic(spark, sf):
+    """Each fold scored by the logistic model of the others: fitted minus true propensity per arm."""
+    got = M.logistic_propensity(E.add_folds(T.planted(spark, sf)), ["x1", "b1", "b2"], folds=cfg.FOLDS)
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"e_{a}").alias("e"), F.col(f"e_true_{a}").alias("t")) for a in cfg.ARMS]))
+    return rnd(got.select(rows.alias("r")).groupBy("r.arm").agg(F.avg(F.col("r.e") - F.col("r.t")).alias("mean_gap"), F.avg(F.abs(F.col("r.e") - F.col("r.t"))).alias("mean_abs_gap"), F.count(F.lit(1)).alias("n")), 3)
+
+
 @query("c07_clip", V.rounded(
     "select arm, count(*) n, sum(case when e_raw<0.2 then 1 else 0 end) clipped, min(e) lowest, max(e) highest, sum(e*cell_n) mass "
     "from (select *, greatest(e_raw,0.2)/sum(greatest(e_raw,0.2)) over (partition by cell) e from "

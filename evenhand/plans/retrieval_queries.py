@@ -329,6 +329,14 @@ def a10(spark, sf):
     return rnd(s.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("best")), 4)
 
 
+@query("h11_split_questions")
+def h11_split(spark, sf):
+    """Questions split into sub-queries, each searched, the best score kept."""
+    q = H.sub_queries(questions(spark, sf)).select("query_id", F.posexplode("sub_queries").alias("sub_id", "text"))
+    s = H.best_of_sub_queries(H.bm25(passages(spark, sf), q))
+    return rnd(s.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("best")), 4)
+
+
 # I: evaluation
 
 

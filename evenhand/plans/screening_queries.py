@@ -32,7 +32,7 @@ TX = "tx as (select *, regexp_extract_all(lower(text), '[\\pL\\pN]+') w from (se
 
 
 @query("j01_identifiers", "with " + TX + r""" select k, count(*) n, count(*) filter (regexp_matches(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) email, count(*) filter (regexp_matches(text,'\+?[0-9][0-9 ()-]{8,}[0-9]')) phone,
-  count(*) filter (regexp_matches(text,'(^|[^A-Za-z])(?i:mr|mrs|ms|dr|prof)\.? +[A-Z][a-z]+')) title_name from tx group by 1""")
+  count(*) filter (regexp_matches(text,'(^|[^A-Za-z])(?i:mr|mrs|ms|miss|dr|prof|shri|smt|sri|kumari|master)\.? +[A-Z][a-z]+')) title_name from tx group by 1""")
 def j01(spark, sf):
     d = S.identifiers(F.col("text"))
     return texts(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(d[c].cast("bigint")).alias(c) for c in ("email", "phone", "title_name")])
@@ -114,8 +114,8 @@ def j08(spark, sf):
     return texts(spark, sf).groupBy("k", F.col("text").rlike(S.AMOUNT_REQUEST).alias("asks_amount")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# a number with a check digit is a run of twelve digits, which the telephone pattern covers
-_ID = r"(regexp_matches(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') or regexp_matches(text,'\+?[0-9][0-9 ()-]{8,}[0-9]') or regexp_matches(text,'(^|[^A-Za-z])(?i:mr|mrs|ms|dr|prof)\.? +[A-Z][a-z]+'))"
+# mobile, health and check-digit numbers are runs that the telephone pattern covers; the texts hold no health address or tax number
+_ID = r"(regexp_matches(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') or regexp_matches(text,'\+?[0-9][0-9 ()-]{8,}[0-9]') or regexp_matches(text,'(^|[^A-Za-z])(?i:mr|mrs|ms|miss|dr|prof|shri|smt|sri|kumari|master)\.? +[A-Z][a-z]+'))"
 
 
 @query("j09_combined", "with " + TX + ", cb as (select k, case when " + _ID + " then 'identifier' when " + _INJ + " then 'injection' when (" + _LANG + ") is not null then 'length_language' when (" + _SCOPE + ") then 'scope' when " + _AMT +

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as html_entities
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +56,17 @@ def part_numbers(docs: DataFrame) -> DataFrame:
     return global_rank(docs, "doc_id", "doc_id", "__p", by=("source",)).withColumn("part", F.col("__p") - 1).drop("__p")
 
 
-# The named entities the page text uses; &amp; is last so that it cannot create new ones.
+# The named entities most pages use; &amp; is last so that it cannot create new ones.
 ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
 def html_lines(html: Column) -> Column:
     """Page text as lines: scripts, styles, tables and reference marks out, block ends to newlines, items to bullets."""
+
+    @F.pandas_udf("string")
+    def unescape(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else html_entities.unescape(t))
+
     t = html
     for tag in ("script", "style", "table"):
         t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}>", " ")
@@ -67,8 +75,11 @@ def html_lines(html: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)<(br|/p|/li|/h\d|/div)[^>]*>", "\n")
     t = F.regexp_replace(t, r"(?i)<li[^>]*>", "\n- ")
     t = F.regexp_replace(t, r"<[^>]+>", "")
+    other = t.rlike("&(?!(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");)(?:#|[A-Za-z])")  # any other reference: the row goes through one Arrow function
+    named = t
     for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
+        named = F.replace(named, F.lit(name), F.lit(char))
+    t = F.when(other, unescape(F.when(other, t))).otherwise(named)
     t = F.regexp_replace(t, r"[ \t\x{00A0}]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n"), F.lit("\n "))
 
