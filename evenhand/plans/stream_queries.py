@@ -78,6 +78,19 @@ def l02(spark, sf):
     return t.groupBy(F.col("level").cast("bigint").alias("level"), "wait", "locked").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("l02_throttle_in_time", """with recursive e as (select user_id, event_id, epoch_us(ts) tm, event_type='error' bad, row_number() over (partition by user_id order by ts, event_id) n from events where event_type in ('error','purchase') and user_id is not null),
+ r as (select user_id, cast(0 as bigint) n, cast(null as varchar) outcome, 0 fails, cast(null as bigint) "last", cast(null as bigint) until, 0 wait from (select distinct user_id from e)
+  union all select user_id, n, case when tm<ready then 'refused' when not bad then 'ok' when fails+1>=5 then 'locked' else 'failed' end,
+   case when tm<ready then fails when not bad then 0 else fails+1 end, case when tm<ready then "last" when bad then tm end, case when tm<ready then until when bad and fails+1>=5 then tm+900000000 end,
+   case when tm<ready then cast((ready-tm)//1000000+1 as int) when not bad then 0 when fails+1>=5 then 900 when fails+1>=3 then least(2<<(fails+1-3),30) else 0 end
+  from (select *, coalesce(until, "last"+case when fails<3 then 0 else least(2<<(fails-3),30) end*1000000, -1) ready from (select e.user_id, e.n, e.tm, e.bad, case when r.until<=e.tm then 0 else r.fails end fails, case when r.until<=e.tm then null else r."last" end "last", case when r.until<=e.tm then null else r.until end until
+   from r join e on e.user_id=r.user_id and e.n=r.n+1)))
+ select outcome, cast(fails as bigint) level, count(*) n, cast(sum(wait) as bigint) waits from r where n>0 group by all""")
+def l02_in_time(spark, sf):
+    t = J.throttle_in_time(events(spark, sf), "user_id", "event_id", "ts", F.col("event_type") == "error", F.col("event_type") == "purchase")
+    return t.groupBy("outcome", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wait").cast("bigint")).alias("waits"))
+
+
 @query("l03_sliding_block", """select user_id, count(*) n, max(r) most, count(*) filter (r>=2) blocked from (select user_id, count(*) over (partition by user_id order by s range between 899 preceding and current row) r from (select user_id, floor(epoch(ts)) s from events where event_type='error')) group by 1""")
 def l03(spark, sf):
     sec = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -74,6 +75,78 @@ def throttle_stream(events: DataFrame, key: str, order: str, failed: Column, suc
     return got.select("*", *_waits(F.col("level")))
 
 
+class Throttle:
+    """The throttle of one key in event time (microseconds): attempts during a wait or a lock are refused and not counted, a lock ends by itself."""
+
+    def __init__(self, fails: int = 0, last: int = -1, until: int = -1):
+        self.fails, self.last, self.until = fails, last, until
+
+    def attempt(self, at: int, failed: bool) -> tuple[str, int, int]:
+        """(outcome, failures so far, seconds until the next try)."""
+        if 0 <= self.until <= at:
+            self.fails, self.last, self.until = 0, -1, -1
+        delay = 0 if self.fails < FREE else min(2 ** (self.fails - FREE + 1), CAP)
+        ready = self.until if self.until >= 0 else self.last + delay * 1_000_000 if self.last >= 0 else -1
+        if at < ready:
+            return "refused", self.fails, (ready - at) // 1_000_000 + 1
+        if not failed:
+            self.fails, self.last, self.until = 0, -1, -1
+            return "ok", 0, 0
+        self.fails, self.last = self.fails + 1, at
+        if self.fails >= LIMIT:
+            self.until = at + LOCK * 1_000_000
+            return "locked", self.fails, LOCK
+        return "failed", self.fails, 0 if self.fails < FREE else min(2 ** (self.fails - FREE + 1), CAP)
+
+
+TIMELINE = "outcome string, level int, wait int"
+
+
+def _attempts(events: DataFrame, key: str, order: str, ts: str, failed: Column, success: Column) -> DataFrame:
+    return events.where(failed | success).select(F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("seq"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), failed.alias("bad"))
+
+
+def throttle_in_time(events: DataFrame, key: str, order: str, ts: str, failed: Column, success: Column) -> DataFrame:
+    """(key, order, outcome, level, wait) of every attempt. Attempts of a key pass in order of time through one small state; none are gathered."""
+
+    def run(batches):
+        own, state = None, Throttle()
+        for b in batches:
+            out = []
+            for k, at, bad in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("bad").to_pylist(), strict=True):
+                if k != own:
+                    own, state = k, Throttle()
+                out.append(state.attempt(at, bad))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("seq"), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=["key", "seq", "outcome", "level", "wait"])
+
+    e = _attempts(events, key, order, ts, failed, success).where("key is not null")
+    got = e.repartition("key").sortWithinPartitions("key", "at", "seq").mapInArrow(run, f"key bigint, seq bigint, {TIMELINE}")
+    return got.withColumnsRenamed({"key": key, "seq": order})
+
+
+def throttle_in_time_stream(events: DataFrame, key: str, order: str, ts: str, failed: Column, success: Column, late: str = "1 hour") -> DataFrame:
+    """The streaming form: state of three numbers per key, dropped when the watermark has passed the end of its lock or wait; what a
+    micro-batch brings of a key is taken in order of time."""
+    e = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
+    e = e.where(failed | success).select("__ts", F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("seq"), F.unix_micros("__ts").alias("at"), failed.alias("bad"))
+
+    def step(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = Throttle(*state.get) if state.exists else Throttle()
+        rows = sorted(r for f in frames for r in zip(f["at"].tolist(), f["seq"].tolist(), f["bad"].tolist(), strict=True))
+        out = [(k[0], seq, *own.attempt(at, bad)) for at, seq, bad in rows]
+        state.update((own.fails, own.last, own.until))
+        end = max(own.until, own.last + CAP * 1_000_000)
+        if own.fails and end >= 0 and own.until >= 0:
+            state.setTimeoutTimestamp(max(end // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "seq", "outcome", "level", "wait"])
+
+    got = e.groupBy("key").applyInPandasWithState(step, f"key bigint, seq bigint, {TIMELINE}", "fails int, last bigint, until bigint", "append", "EventTimeTimeout")
+    return got.withColumnsRenamed({"key": key, "seq": order})
+
+
 # Sliding-window block
 
 

@@ -19,6 +19,24 @@ def test_throttle_stream_equals_batch(spark, sf):
     assert D.table_diff(batch, got, ["user_id", "event_id"]).count() == 0 and got.count() > 0
 
 
+def test_throttle_in_time_stream_equals_batch(spark, sf):
+    args = ("user_id", "event_id", "ts", F.col("event_type") == "error", F.col("event_type") == "purchase")
+    batch = J.throttle_in_time(T.table(spark, sf, "events"), *args)
+    stream = spark.readStream.schema(T.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    root = shared_dir(spark, f"throttle_{uuid.uuid4().hex[:8]}")
+    J.run_to_table(J.throttle_in_time_stream(stream, *args), f"{root}/out", f"{root}/state")
+    got = spark.read.parquet(f"{root}/out")
+    assert D.table_diff(batch, got, ["user_id", "event_id"]).count() == 0 and got.count() == batch.count() > 0
+
+
+def test_throttle_waits_locks_and_expiry():
+    t, s = J.Throttle(), 1_000_000
+    assert [t.attempt(i * s, True)[0] for i in range(3)] == ["failed"] * 3
+    assert t.attempt(3 * s, True) == ("refused", 3, 2) and t.attempt(4 * s, True) == ("failed", 4, 4)
+    assert t.attempt(7 * s, False)[0] == "refused" and t.attempt(8 * s, True) == ("locked", 5, 900)
+    assert t.attempt(907 * s, False)[0] == "refused" and t.attempt(908 * s, True) == ("failed", 1, 0) and t.attempt(909 * s, False) == ("ok", 0, 0)
+
+
 def test_audit_stream_equals_batch(spark, sf):
     def audit(e):
         return J.audit_lines(e, "event_id", "ts", ["user_id"], F.lit("estimate"), F.array().cast("array<string>"), "0.1")
