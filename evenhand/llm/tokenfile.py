@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from evenhand.llm.bpe import Transducer, load
 from evenhand.llm.common import scratch_path, slices
 
+SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^`{|}~"  # signs that always are one piece with their neighbours (no apostrophe, no part of a special token's string)
 MAGIC, HEAD, SAMPLE = b"EHT1", "<4sIQQQQ", 256
 
 
@@ -38,7 +39,7 @@ class LibraryCoder(Transducer):
     """The same store of words in front of the tokenizers library, which encodes every word that isn't in it. Cutting at white
     space and lower case of ASCII text change no id of vocabularies whose pieces hold no white space and whose normaliser is in lower case."""
 
-    def __init__(self, spec: dict, kept: int = 350_000):
+    def __init__(self, spec: dict, kept: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
@@ -47,22 +48,31 @@ class LibraryCoder(Transducer):
         self.library.no_truncation()
         self.library.no_padding()
         self.cut = None
+        self.shown = {b: c for b, c in enumerate(self.letters) if c != chr(b)}
 
     def normal(self, text: str) -> str:
         return text.lower() if self.lower and text.isascii() else text
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        parts = [(w[:-1], w[-1]) if w[-1] in ".,!?:;" and w[:-1].isalpha() else (w,) for w in new]
+        """Letters with signs behind them are two pieces, each looked up by itself. A piece of letters goes to the library's model
+        directly, as its normaliser leaves it and with bytes shown as letters; all else goes through the whole library."""
+        parts = []
+        for w in new:
+            stem = w.rstrip(SIGNS)
+            parts.append((stem, w[len(stem) :]) if len(stem) < len(w) and stem.isalpha() else (w,))
         ids: dict[str, bytes] = {}
-        other, tokenize, lower = [], self.library.model.tokenize, self.lower
+        other, tokenize, known = [], self.library.model.tokenize, self.words
         for p in {p for own in parts for p in own}:
-            if (got := self.words.get(p)) is not None:
+            if (got := known.get(p)) is not None:
                 ids[p] = got
-            elif p.isascii() and p.isalpha():  # one piece whose letters stand for themselves
-                ids[p] = self.packed([t.id for t in tokenize(p.lower() if lower else p)])
+                continue
+            q = super().normal(p)
+            if q.isalpha() and len(q) < self.window:
+                ids[p] = self.packed([t.id for t in tokenize(q if q.isascii() else q.encode().decode("latin-1").translate(self.shown))])
             else:
                 other.append(p)
         ids.update(zip(other, (self.packed(e.ids) for e in self.library.encode_batch(other, add_special_tokens=False)), strict=True))
+        known.update((own[0], ids[own[0]]) for own in parts if len(own) > 1)
         return {w: b"".join([ids[p] for p in own]) for w, own in zip(new, parts, strict=True)}
 
 
