@@ -146,16 +146,11 @@ def classify(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 4
     todo = placed.join(nodes.select("digest", "head.rid", "n"), "digest")
 
     def verify(table: pa.Table) -> pa.Table:
-        seen: dict[bytes, int] = {}
-        digests = table.column("digest").to_pylist()
-        for i, d in enumerate(digests):
-            seen.setdefault(d, i)  # repeated rows of one document
-        table = table.take(list(seen.values()))
         texts = table.column("text").to_pylist()
         got = verify_block(table.column("digest").to_pylist(), np.array(table.column("n").to_pylist(), np.int64), np.array(table.column("side").to_pylist()), texts, k, threshold)
         return pa.table([pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary()), pa.array(got[2], pa.int64())], names=["a", "b", "links"])
 
-    texts = rows.select("rid", "text").join(todo, "rid")
+    texts = rows.select("rid", "text").join(todo, "rid").dropDuplicates(["rid", "place"])  # repeated rows of one document: one is enough
     found = written(texts.groupBy("place").applyInArrow(verify, "a binary, b binary, links bigint"), "verified")
     links = found.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     roots = components(found.select("a", "b")).withColumnRenamed("node", "digest")
