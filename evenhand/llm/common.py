@@ -14,6 +14,8 @@ from evenhand.session import shared_dir
 
 #: A key with more than this share of all rows counts as a heavy key; there can be at most its inverse many.
 HEAVY_SHARE = 1 / 2000
+#: Folders written so far, for release().
+WRITTEN: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared place that all executors see; only a local session may go without one."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return shared_dir(spark, f"llm_{name}_{uuid.uuid4().hex[:12]}")
+    path = shared_dir(spark, f"llm_{name}_{uuid.uuid4().hex[:12]}")
+    WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this process has written on the way; call it once results have been read."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -286,3 +286,13 @@ def test_pipeline_by_brute_force(spark, sf):
         if "BPE" in name:
             assert docs.count() == len(rows) and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} == set(docs.columns)
     assert P.run(spark, sf).count() == kept[-1]
+
+
+def test_written_tables_are_released(spark, sf):
+    import os
+
+    common.written(documents(spark, sf).select("doc_id"), "t")
+    path = common.WRITTEN[-1]
+    assert os.path.exists(path.removeprefix("file:"))
+    common.release(spark)
+    assert not os.path.exists(path.removeprefix("file:")) and not common.WRITTEN
