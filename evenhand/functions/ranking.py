@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BUCKETS = 64
+#: Buckets at least and at most; between them one to every ROWS rows.
+BUCKETS, MOST_BUCKETS, ROWS = 64, 10_000, 1_000_000
 
 
-def _edges(df: DataFrame, col: str, buckets: int) -> list[float]:
-    """At most ``buckets`` approximate quantiles of a column, brought to the driver (a bounded list of numbers)."""
+def _edges(df: DataFrame, col: str, buckets: int | None) -> list[float]:
+    """Approximate quantiles of a column that cut it into ``buckets`` (by its number of rows if None), brought to the driver (a bounded list of numbers)."""
+    buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, df.count() // ROWS))
     probs = [i / buckets for i in range(1, buckets)]
     got = df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, probs, 1.0 / (4 * buckets))
     return sorted({float(v) for v in got if v is not None and not math.isnan(v)})
@@ -38,7 +40,7 @@ def value_bucket(df: DataFrame, col: str, edges: list[float], out: str) -> DataF
     return marked.withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
-def _bucketed(df: DataFrame, col: str, tie: str, buckets: int, edges: list[float] | None = None, ties: list[float] | None = None) -> DataFrame:
+def _bucketed(df: DataFrame, col: str, tie: str, buckets: int | None, edges: list[float] | None = None, ties: list[float] | None = None) -> DataFrame:
     """Columns __b (value bucket) and __s (tie sub-bucket, only inside an edge value)."""
     edges = _edges(df, col, buckets) if edges is None else edges
     ties = (_edges(df, tie, buckets) if edges else []) if ties is None else ties
@@ -48,11 +50,11 @@ def _bucketed(df: DataFrame, col: str, tie: str, buckets: int, edges: list[float
     out = value_bucket(out, tie, ties, "__s")
     lower = F.element_at(F.array(*[F.lit(e) for e in edges]), F.greatest(F.col("__b"), F.lit(1)))
     at_edge = (F.col("__b") >= 1) & (F.col(col).cast("double") == lower)
-    return out.withColumn("__s", F.when(at_edge, F.col("__s")).otherwise(F.lit(buckets + 1)))
+    return out.withColumn("__s", F.when(at_edge, F.col("__s")).otherwise(F.lit(2 * MOST_BUCKETS)))
 
 
 def global_rank(df: DataFrame, col: str, tie: str, out: str = "rank", by: tuple[str, ...] = (),
-                descending: bool = False, sum_cols: dict[str, str] | None = None, buckets: int = BUCKETS,
+                descending: bool = False, sum_cols: dict[str, str] | None = None, buckets: int | None = None,
                 edges: list[float] | None = None, ties: list[float] | None = None) -> DataFrame:
     """Exact ``row_number`` over (by, col, tie), rows spread over many tasks; ties go to the smaller ``tie``.
 
@@ -86,8 +88,8 @@ def global_rank(df: DataFrame, col: str, tie: str, out: str = "rank", by: tuple[
 
 
 def hash_rank(df: DataFrame, key: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Exact ``row_number`` over (by, key) for an md5 key: its first two digits are 256 even buckets."""
-    work = df.withColumn("__b", F.substring(key, 1, 2)).persist()  # read twice
+    """Exact ``row_number`` over (by, key) for an md5 key: its first four digits are 65,536 even buckets."""
+    work = df.withColumn("__b", F.substring(key, 1, 4)).persist()  # read twice
     sizes = work.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
@@ -121,7 +123,7 @@ def hash_threshold(df: DataFrame, key: str, want: DataFrame, by: tuple[str, ...]
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: tuple[str, ...] = (),
-                    buckets: int = BUCKETS) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) per group: rows (by…, p, value).
 
     Rows are first reduced to (group, value, count), which removes hot values; a group's buckets then need only
@@ -162,7 +164,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: tuple[str,
     return hit.groupBy(*by, "p").agg((low + (high - low) * frac).alias("value"))
 
 
-def average_ranks(df: DataFrame, col: str, out: str, by: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
+def average_ranks(df: DataFrame, col: str, out: str, by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
     """(by…, col, out): the mean rank of every distinct value, ties sharing one rank; work is on distinct values."""
     by = tuple(by)
     vals = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("__c"))
