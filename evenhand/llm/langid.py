@@ -72,7 +72,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = 8000, max_langs: int = 512) -> Model:
+def fit(docs: DataFrame, sample_rows: int = 8000, max_langs: int = 64) -> Model:
     """Counts over about ``sample_rows`` labelled rows; more than ``max_langs`` languages are an error."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     n = labelled.count()
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, sample_rows: int = 8000, max_langs: int = 512) -> Model
 class Words:
     """Scores of words, kept for words seen again; the store is emptied when it is full, so it never grows beyond ``most``."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
         self.clear()
 
@@ -204,7 +204,7 @@ def viterbi(score: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty:
 
 
 def label(texts: list[str | None], words: Words, penalty: float) -> list[tuple[str, float, list[dict]]]:
-    """Language, score and spans of each text. The score is the share of letters in that language times how clearly its words win."""
+    """Language, score and spans of each text. The score is the share of letters in that language, halved as far as another one fits the whole text as well."""
     langs = words.model.langs
     if not langs:
         return [("und", 0.0, [])] * len(texts)
@@ -235,7 +235,7 @@ def label(texts: list[str | None], words: Words, penalty: float) -> list[tuple[s
             at = at if len(at) == n else None  # lower case can't change the white space, but keep to whole text if it did
             edges = [0, *(at[c] for c in cuts[1:-1]), len(text)] if at else None
             spans = [{"start": edges[i], "stop": edges[i + 1], "lang": langs[own[cuts[i]]]} for i in range(len(cuts) - 1)] if at else [{"start": 0, "stop": len(text), "lang": langs[best]}]
-        out.append((langs[best], float(share[best] / total * clear), spans))
+        out.append((langs[best], float(share[best] / total * (1 + clear) / 2), spans))
     return out
 
 
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
 
     def run(batches):
         words = Words(Model(*sent.value))
-        for batch in slices(batches, names[text], 8 << 20):
+        for batch in slices(batches, names[text], 4 << 20):
             got = label(batch.column(text).to_pylist(), words, penalty)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], span_type)], names=[*names, *RESULT])
 
@@ -267,7 +267,7 @@ def predictions(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-def accept(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents in one known language: those without a letter and those whose language holds under ``least`` of the text go."""
+def accept(docs: DataFrame, least: float = 0.2) -> DataFrame:
+    """Documents in a known language: those without a letter and those of which no language holds a fair part (a score under ``least``) go."""
     found = identify(docs, fit(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(quoted(without(docs, *RESULT)))
