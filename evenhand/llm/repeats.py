@@ -1,10 +1,16 @@
 """5 Substring dedup: lines and their sentences are normalised and hashed, digests grouped over all documents, the earliest occurrence kept.
 
-A text is cut into units that cover it: sentences, which end at ``.``, ``!``, ``?`` or the line's end. A unit's normal form is in
-lower case with single spaces. Occurrences rank by (doc_id, offset); every one but the first is a repeat. Neighbouring repeats
-form a run, and a run goes when one of its units has ``min_words`` words or more, so that short sentences which any two texts
-may share by chance stay unless they stand in a repeated passage. Removed runs are given as offsets (code points) in the
-original text.
+A text is cut into units that cover it: sentences, which end at ``.``, ``!``, ``?``, their wide forms or the line's end. A unit's
+normal form is in lower case with single spaces. Occurrences rank by (doc_id, offset); every one but the first is a repeat.
+Neighbouring repeats form a run, and a run goes when one of its units has ``min_words`` words or more, or when it holds a
+passage of shorter units that stands in the same order in an earlier document; short sentences which any two texts may share
+by chance stay otherwise. Words are parted by spaces; letters of scripts that are written without spaces count as words.
+Removed runs are given as offsets (code points) in the original text.
+
+Passages of over ``passage_words`` words are found wherever they begin and end: at most ``min_words`` - 1 words of the short unit
+at either end fall outside of whole units, so from each short unit on, the fewest units with more than
+``passage_words`` - 2 (``min_words`` - 1) words get a digest of their own, which is grouped like those of the units. Any
+longer passage of short units that two documents share holds one of these at the same place.
 
 Defined results: null and empty texts have no units; rows with the same doc_id count as one document and aren't compared
 with each other, nor are rows without a doc_id that hold equal texts; rows without a doc_id rank last; no row is lost.
@@ -22,8 +28,10 @@ from pyspark.sql import functions as F
 
 from evenhand.llm.common import quoted, skew_safe_join, slices, without, written
 
-UNIT = re.compile(r"[^.!?\n]+[.!?\n]*[ \t\r\n]*|[.!?\n]+[ \t\r\n]*")
+UNIT = re.compile(r"[^.!?。！？｡\n]+[.!?。！？｡\n]*[ \t\r\n]*|[.!?。！？｡\n]+[ \t\r\n]*")
 GAP = re.compile(r"[ \t\r\n]+")
+# Scripts written without spaces (Unicode ranges, fixed values): Thai and Lao, Burmese, Khmer, Kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 NO_ID = 1 << 62
 
 
@@ -32,28 +40,58 @@ def own_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(NO_ID))
 
 
-def cut(text: str, min_words: int) -> list[tuple[bytes, int, bool]]:
-    """Digest, place and whether it occurred before in the text, for each unit. The place packs offset, length and whether the unit is long."""
+def word_count(normal: str) -> int:
+    """Words of a normal form: letters of unspaced scripts count as one each."""
+    if normal.isascii() or not UNSPACED.search(normal):
+        return normal.count(" ") + 1
+    return sum(max(1, sum(map(str.isalpha, UNSPACED.findall(w)))) for w in normal.split(" "))
+
+
+def passages(short: list[tuple[bytes, int, int, int]], least: int) -> list[tuple[bytes, int, bool]]:
+    """From each of neighbouring short units (digest, start, stop, words) on, the fewest that have more than ``least`` words together, as from cut()."""
+    out, stop, words = [], 0, 0
+    digests = b"".join(u[0] for u in short)
+    for i, u in enumerate(short):
+        while words <= least and stop < len(short):
+            words += short[stop][3]
+            stop += 1
+        if words <= least:
+            break
+        out.append((xxhash.xxh3_128_digest(digests[16 * i : 16 * stop]), u[1] << 32 | (short[stop - 1][2] - u[1]) << 1 | 1, False))
+        words -= u[3]
+    return out
+
+
+def cut(text: str, min_words: int, passage_words: int) -> list[tuple[bytes, int, bool]]:
+    """Digest, place and whether it occurred before in the text, for each unit; behind them the same for passages of short units,
+    which are compared with other documents only. The place packs offset, length and whether it is a passage or a long unit."""
+    least = max(0, passage_words - 2 * (min_words - 1))
     seen: set[bytes] = set()
-    out = []
+    out, longer, short = [], [], []
     for m in UNIT.finditer(text):
         normal = GAP.sub(" ", m.group()).strip(" ").lower()
+        start, stop = m.span()
+        words = word_count(normal) if normal else 0
         if normal:
             digest = xxhash.xxh3_128_digest(normal.encode("utf-8", "replace"))
-            start, stop = m.span()
-            out.append((digest, start << 32 | (stop - start) << 1 | (normal.count(" ") + 1 >= min_words), digest in seen))
+            out.append((digest, start << 32 | (stop - start) << 1 | (words >= min_words), digest in seen))
             seen.add(digest)
-    return out
+        if 0 < words < min_words:
+            short.append((digest, start, stop, words))
+        elif short:
+            longer += passages(short, least)
+            short = []
+    return out + longer + passages(short, least)
 
 
-def units(docs: DataFrame, min_words: int) -> DataFrame:
-    """id, h1, h2 (the digest), place, again."""
+def units(docs: DataFrame, min_words: int, passage_words: int) -> DataFrame:
+    """id, h1, h2 (the digest), place, again; of units and of passages."""
 
     def run(batches):
         for batch in slices(batches, "text", 2 << 20):
             n, found = [], []
             for t in batch.column("text").to_pylist():
-                got = cut(t, min_words) if t else []
+                got = cut(t, min_words, passage_words) if t else []
                 n.append(len(got))
                 found += got
             h = np.frombuffer(b"".join(f[0] for f in found), np.int64).reshape(-1, 2)
@@ -64,19 +102,19 @@ def units(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def joined_runs(places: np.ndarray) -> list[dict]:
-    """Runs of neighbouring places that hold a long unit, as offsets."""
+    """Runs of neighbouring places that hold a long unit or a passage, as offsets."""
     places = np.unique(places)
     start, size, long = places >> 32, (places & 0xFFFFFFFF) >> 1, (places & 1).astype(bool)
-    stop = start + size
-    first = np.flatnonzero(np.append(True, start[1:] != stop[:-1]))
+    stop = np.maximum.accumulate(start + size)  # a passage covers units
+    first = np.flatnonzero(np.append(True, start[1:] > stop[:-1]))
     keep = np.logical_or.reduceat(long, first)
     ends = stop[np.append(first[1:], len(places)) - 1]
     return [{"start": int(a), "stop": int(b)} for a, b, k in zip(start[first], ends, keep, strict=True) if k]
 
 
-def repeat_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def repeat_spans(docs: DataFrame, min_words: int = 8, passage_words: int = 50) -> DataFrame:
     """id and spans (array<struct<start, stop>>) of documents with something to remove; ``id`` is own_id() of the rows."""
-    cuts = units(docs, min_words)
+    cuts = units(docs, min_words, passage_words)
     first = cuts.where(~F.col("again")).groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
     shared = written(first.where("first < last").select("h1", "h2", "first", "n"), "shared_units")
     across = skew_safe_join(cuts.where(~F.col("again")).select("id", "h1", "h2", "place"), shared, ["h1", "h2"], "n", F.xxhash64("id", "place"))
@@ -116,7 +154,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
     return base.select([new[c].alias(c) if c in new else F.col(q) for c, q in zip(docs.columns, quoted(docs), strict=True)])
 
 
-#: The same in SQL. Null doc_ids are not told apart here; the given tables have none.
+#: The same in SQL for runs with a long unit: passages of short units alone, and words and sentences of unspaced scripts, are not in it. Null doc_ids are not told apart here; the given tables have none.
 SQL = r"""with u0 as (select doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\n]*[ \t\r\n]*|[.!?\n]+[ \t\r\n]*') us from documents where text is not null),
  u1 as (select doc_id, unnest(us) unit, unnest(range(len(us))) i from u0),
  u as (select *, coalesce(sum(length(unit)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) s0 from u1),

@@ -168,6 +168,22 @@ def test_repeats_of_odd_rows(spark):
     assert repeats.removed(df.limit(0)).count() == 0
 
 
+def test_repeated_passages_of_short_units(spark):
+    names = [f"{a}{b} is {c}" for a, b, c in zip("abcdefghijklmnopqr", "rqponmlkjihgfedcba", "xyzxyzxyzxyzxyzxyz", strict=True)]
+    items, verse = "\n".join(names) + "\n", "!! ".join(f"w{i}" for i in range(60)) + "!! "
+    back = "\n".join(names[::-1]) + "\n"
+    chinese = "".join(chr(0x4E00 + 7 * i) + ("。" if i % 6 == 5 else "") for i in range(66))
+    thai = "".join(chr(0x0E01 + i * i % 40) for i in range(60))
+    rows = [(1, f"One begins here.\n{items}One ends."), (2, f"Another text\n{items}goes on."), (3, f"Turned round\n{back}stays."), (4, "A few\n" + "\n".join(names[:11]) + "\nstay."),
+            (5, verse), (6, f"Told again: {verse}By me."), (7, f"甲乙。{chinese}丙丁。"), (8, f"戊己。{chinese}庚辛。"), (9, f"x\n{thai}\ny"), (10, f"z\n{thai}\nv"),
+            (11, "tail of it\n" + "\n".join(names[2:]) + " and\nmore"), (12, "no. " * 300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = dict(rows)
+    got = {(r.doc_id, text[r.doc_id][r.start : r.stop].strip()) for r in repeats.removed(df).collect()}
+    inner = "\n".join(names[2:-1])
+    assert got == {(2, items.strip()), (6, verse.split(" ", 1)[1].strip()), (8, chinese), (10, thai), (11, inner)}
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
     t = mixing.targets([10, 1000, 1000], [5, 2, 1])
