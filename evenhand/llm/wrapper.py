@@ -4,8 +4,11 @@ Pages become trees of block elements; neighbouring siblings of one kind are one
 by simple tree matching (the largest order-preserving match of children with equal labels, top down) and merged into the
 host's template tree, which counts for each node the pages that have it and whether its text was the same in all of them. All
 pages take part: each task folds its own pages into one tree per host, and trees of a host are merged in two rounds, so
-that no task meets more than about the square root of all trees. A page is then aligned with its host's template. Nodes
-with one text in at least ``support`` pages, on a host whose other slots vary, are template; so is what stands in navigation,
+that no task meets more than about the square root of all trees. A page is then aligned with its host's template. Beside that,
+pages are counted for each text of each slot of a host (a slot is known by its path from the root), so that what a large
+host's template says is not lost when single pages differ or the tree is pruned: exact copies of a page count once, and
+pages cut off within a slot count for its text only if they have it whole. Nodes with one text in at least ``support`` pages,
+in all of them or in a ``share`` of the counted ones, on a host whose other slots vary, are template; so is what stands in navigation,
 header, footer, aside, form, script and similar elements, or in elements whose class, id or role says so. Of the varying
 slots the article element (or main) holds the content where there is one; else those that aren't mostly links.
 
@@ -22,6 +25,7 @@ import json
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +54,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """A block element. runs: its child nodes, and texts as (text, letters within links)."""
+    """A block element. runs: its child nodes, and texts as (text, letters within links). open: whether the page may end within it or its row of siblings."""
 
-    __slots__ = ("tag", "label", "aside", "runs", "slot")
+    __slots__ = ("tag", "label", "aside", "runs", "slot", "open")
 
     def __init__(self, tag: str, label: str, aside: bool):
-        self.tag, self.label, self.aside, self.runs, self.slot = tag, label, aside, [], None
+        self.tag, self.label, self.aside, self.runs, self.slot, self.open = tag, label, aside, [], None, False
 
 
 def node_of(tag: str, attributes: str) -> Node:
@@ -146,7 +150,12 @@ def parse(html: str) -> Node:
                 own = n
             inline.append((tag, len(stack), own))
             links += tag == "a"
+    ends = len(stack) > 1
     leave(1)
+    n = root if ends else None
+    while n is not None:
+        n.open = True
+        n = next((r for r in reversed(n.runs) if not isinstance(r, tuple)), None)
     return root
 
 
@@ -184,6 +193,24 @@ def slots(node: Node) -> list:
     return gather([node], node.label)
 
 
+def places(root: Node) -> list[tuple[int, str, bool, list]]:
+    """(path, digest, open, slot) of the slots with text of a page that slots() has seen. A path is the hash of the labels from the root, each with its number among siblings of one label."""
+    opened, n = set(), root if root.open else None
+    while n is not None:
+        opened.add(id(n.slot))
+        n = next((r for r in reversed(n.runs) if not isinstance(r, tuple)), None)
+    out, todo = [], [(root.slot, 0)]
+    while todo:
+        slot, path = todo.pop()
+        if slot[2]:
+            out.append((path, slot[2], id(slot) in opened, slot))
+        before: dict[str, int] = {}
+        for c in slot[3]:
+            k = before[c[0]] = before.get(c[0], -1) + 1
+            todo.append((c, (xxhash.xxh3_64_intdigest(f"{path}/{c[0]}#{k}".encode("utf-8", "replace"))) >> 1))
+    return out
+
+
 def tree_match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two slots with one label: the number of matched slots, and the matched pairs of children."""
     x, y = a[3], b[3]
@@ -228,7 +255,7 @@ def count(slot: list) -> int:
 
 
 def pruned(slot: list) -> list:
-    """Without slots that a single page has; a slot with so little support is never template, so results stay the same."""
+    """Without slots that a single page has, so that a tree stays small; what they say is still counted in template_texts()."""
     return [*slot[:3], [pruned(c) for c in slot[3] if c[1] > 1]]
 
 
@@ -250,13 +277,15 @@ def constant_slots(template: list, page: list, support: int, found: set[int]) ->
     return found
 
 
-def content(html: str | None, template: list | None, support: int) -> str:
-    """The main text of a page."""
+def content(html: str | None, template: list | None, support: int, texts: frozenset[str] = frozenset()) -> str:
+    """The main text of a page; ``texts`` are the counted template texts of its host, as path:digest."""
     if not html:
         return ""
     root = parse(html)
     tree = slots(root)
     constant = constant_slots(template, tree, support, set()) if template is not None and varies(template) else set()
+    if texts:
+        constant |= {id(slot) for path, digest, _, slot in places(root) if f"{path}:{digest}" in texts}
     blocks: list[tuple[str, int, str]] = []
 
     def walk(n: Node, region: str):
@@ -315,22 +344,61 @@ def templates(pages: DataFrame, most_hosts: int = 2000, most_slots: int = 4000)
     return some.groupBy("host").applyInArrow(join, schema).select("host", F.get_json_object("template", "$[1]").cast("bigint").alias("pages"), "template")
 
 
-def main_text(pages: DataFrame, support: int = 3) -> DataFrame:
+def template_texts(pages: DataFrame, support: int = 3, share: float = 0.8) -> DataFrame:
+    """host and texts (path:digest, parted by spaces): those that at least ``support`` different pages and a ``share`` of the pages with the slot have.
+
+    Pages cut off within the slot count for the text if they have it, else not at all. Hosts without a slot of two texts have no row.
+    """
+    rows = pages.select(host().alias("host"), "html").where("html is not null")
+
+    def run(batches):
+        for batch in slices(batches, "html"):
+            hosts, copy, found = [], [], []
+            for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                root = parse(page)
+                slots(root)
+                got = places(root)
+                hosts += [h] * len(got)
+                copy += [xxhash.xxh3_64_intdigest(page.encode("utf-8", "replace")) >> 1] * len(got)
+                found += got
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.bool_()), pa.array(copy, pa.int64())],
+                names=["host", "path", "text", "open", "copy"],
+            )
+
+    each = rows.mapInArrow(run, "host string, path bigint, text string, open boolean, copy bigint")
+    each = each.groupBy("host", "path", "text", "copy").agg(F.max("open").alias("open"))
+    said = each.groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.sum((~F.col("open")).cast("bigint")).alias("whole"))
+    slot = said.groupBy("host", "path").agg(
+        F.max(F.struct("n", "text", "whole")).alias("most"), F.sum("whole").alias("whole"), F.sum((F.col("whole") > 0).cast("bigint")).alias("kinds")
+    )
+    total = F.col("whole") - F.col("most.whole") + F.col("most.n")
+    known = (F.col("most.n") >= support) & (F.col("most.n") >= share * total)
+    text = F.when(known, F.concat_ws(":", F.col("path").cast("string"), "most.text"))
+    return slot.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(text)), " ").alias("texts"), F.max("kinds").alias("kinds")).where("kinds > 1").select("host", "texts")
+
+
+def main_text(pages: DataFrame, support: int = 3, share: float = 0.8) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    induced = written(templates(pages), "templates")
+    induced = written(templates(pages).join(template_texts(pages, support, share), "host", "left"), "templates")
     rows = pages.select("page_id", "url", "html", host().alias("host"))
-    rows = skew_safe_join(rows, induced, "host", "pages", F.concat(F.lit("~"), F.xxhash64("url", "page_id").cast("string"))).select("page_id", "url", "html", "template")
+    rows = skew_safe_join(rows, induced, "host", "pages", F.concat(F.lit("~"), F.xxhash64("url", "page_id").cast("string"))).select("page_id", "url", "html", "template", "texts")
 
     def run(batches):
         known: dict[str | None, list | None] = {None: None}
+        counted: dict[str | None, frozenset[str]] = {None: frozenset()}
         for batch in slices(batches, "html"):
             out = []
-            for page, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
+            for page, t, x in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), batch.column("texts").to_pylist(), strict=True):
                 if t not in known:
                     if len(known) > 500:
                         known = {None: None}
                     known[t] = json.loads(t)
-                out.append(content(page, known[t], support))
+                if x not in counted:
+                    if len(counted) > 500:
+                        counted = {None: frozenset()}
+                    counted[x] = frozenset(x.split())
+                out.append(content(page, known[t], support, counted[x]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {rows.dtypes[0][1]}, url string, text string, n_chars bigint")

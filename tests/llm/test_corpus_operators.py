@@ -266,6 +266,20 @@ def test_page_text(spark):
     assert all(r.n_chars == len(r.text) for r in wrapper.main_text(df).collect())
 
 
+def test_template_texts_outlive_single_pages(spark):
+    """On a large host a page cut off in a notice and one with another advert don't make either content; copies of a page are no template."""
+    notice, advert = "Read this every day, dear reader.", "Buy two of these and get a third."
+    page = lambda i, ad=advert, tail="</div></body></html>": f"<html><body><div class='x'>{ad}</div><div class='text'><p>Own {i}</p></div><div class='y'>{notice}{tail}"
+    rows = [(i, "https://a.example/", page(i)) for i in range(40)]
+    rows += [(40, "https://a.example/", page(40, "Another advert.")), (41, "https://a.example/", page(41)[: -len(notice) - 10])]
+    rows += [(50 + i, "https://b.example/", page("same")) for i in range(9)] + [(60, "https://b.example/", page("other"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in (1, 5):
+        got = {r.page_id: r.text for r in wrapper.main_text(df.repartition(parts)).collect()}
+        assert all(got[i] == f"Own {i}" for i in range(40)) and got[40] == "Another advert.\nOwn 40" and got[41].startswith("Own 41")
+        assert all("Own same" in got[50 + i] for i in range(9)) and "Own other" in got[60]
+
+
 def test_given_pages(spark, sf):
     import html
 
