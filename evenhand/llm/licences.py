@@ -3,9 +3,10 @@
 Candidate blocks are the sentences that hold a word of licence language, and each line that does, with the line before it and as
 many after it as the longest template may fill. Each block is compressed
 alone and once with every template's wording as zstandard raw dictionary; templates rank by the share of bytes that their
-dictionary saves, as text that is said in the template's own words needs hardly any bytes beside it. The best
-``finalists`` are then compared word by word: the winner is the one with the fewest differing words, and it is confirmed when
-they are at most ``tolerance`` of its words and all its key words (names and version numbers) stand in the text as they are.
+dictionary saves, as text that is said in the template's own words needs hardly any bytes beside it. Every template whose key
+words (names and version numbers) stand in the block as they are is compared word by word around them: it is confirmed when
+the differing words are at most one or ``tolerance`` of its words, and the one with the most agreeing words, less the
+differing ones, is the finding. What the block holds before and behind it is searched again until nothing more is confirmed.
 
 Defined results: null and empty texts and texts without licence language have no findings; findings of one text don't overlap, the
 one with more agreeing words, less the differing ones, stays; equal savings rank by template name; repeated rows give equal findings; a null doc_id stays null.
@@ -46,6 +47,16 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "unencumbered domain"),
 }
+# Short forms, which the SQL does not look for.
+SHORT_FORMS = {
+    **{f"{x} SPDX": (f"SPDX-License-Identifier: {x}", f"spdx-license-identifier {x.lower()}") for x in (
+        "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "Unlicense")},
+    "Apache-2.0 short": ("Apache License 2.0", "apache license 2.0"),
+    "CC-BY-4.0 short": ("CC BY 4.0", "cc by 4.0"),
+    "CC-BY-NC-4.0 short": ("CC BY-NC 4.0", "cc by-nc 4.0"),
+    "CC-BY-SA-4.0 short": ("CC BY-SA 4.0", "cc by-sa 4.0"),
+    "MIT short": ("MIT License", "mit license"),
+}
 # Parts of words by which licence language is found.
 LANGUAGE = ["licen", "copyright", "rights reserved", "permission", "redistribut", "warrant", "public domain", "creative commons", "waived", "cc by", "cc0", "spdx"]
 WORD = re.compile(r"\w+(?:[.\-/]\w+)*")
@@ -76,8 +87,8 @@ def blocks(text: str, reach: int) -> Iterator[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, tuple[str, str]], finalists: int, tolerance: float):
-        self.finalists, self.tolerance = finalists, tolerance
+    def __init__(self, templates: dict[str, tuple[str, str]], tolerance: float):
+        self.tolerance = tolerance
         self.alone = zstandard.ZstdCompressor(level=6, write_content_size=False, write_checksum=False)
         self.with_template, self.words, self.keys = {}, {}, {}
         for name, (wording, keys) in templates.items():
@@ -87,11 +98,11 @@ class Scanner:
             self.keys[name] = set(keys.split())
         self.reach = max(map(len, self.words.values()))
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Templates by the share of the block's compressed size that they save."""
+    def ranked(self, block: str, names: list[str]) -> list[tuple[float, str]]:
+        """The named templates by the share of the block's compressed size that they save."""
         raw = " ".join(block.lower().split()).encode("utf-8", "replace")
         plain = len(self.alone.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / plain, name) for name, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
+        return sorted(((1 - len(self.with_template[name].compress(raw)) / plain, name) for name in names), key=lambda x: (-x[0], x[1]))
 
     def differences(self, words: list[tuple[str, int, int]], name: str) -> tuple[int, int, int, int] | None:
         """(differing words, agreeing words, start, stop) of the place where the block says the template; None without its key words."""
@@ -110,19 +121,34 @@ class Scanner:
             return None
         return (last - first - agree) + (len(own) - agree), agree, words[first][1], words[last - 1][2]
 
+    def best(self, block: str, words: list[tuple[str, int, int]]) -> tuple | None:
+        """The confirmed template with the most agreeing words, less the differing ones, in these words of a block."""
+        here: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            here.setdefault(w[0], []).append(i)
+        names = [name for name, keys in self.keys.items() if all(k in here for k in keys)]
+        best = None
+        for saved, name in self.ranked(block, names) if names else ():
+            n = len(self.words[name])
+            most = max(1, self.tolerance * n)
+            near = n + int(most)
+            for i in here[min(sorted(self.keys[name]), key=lambda k: len(here[k]))]:
+                got = self.differences(words[max(0, i - near) : i + near + 1], name)
+                if got and got[0] <= most and (best is None or (-got[1] + got[0], -saved) < best[0]):
+                    best = ((-got[1] + got[0], -saved), name, saved, got)
+        return best
+
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
         """(start, stop, licence, saved share, differing words) of the findings in a text."""
         found = []
         for a, b in blocks(text, self.reach) if text else ():
-            words = words_of(text[a:b])
-            best = None
-            for saved, name in self.ranked(text[a:b])[: self.finalists]:
-                got = self.differences(words, name)
-                if got and got[0] <= self.tolerance * len(self.words[name]) and (best is None or (-got[1] + got[0], -saved) < best[0]):
-                    best = ((-got[1] + got[0], -saved), name, saved, got)
-            if best:
-                _, name, saved, (differ, agree, start, stop) = best
-                found.append((agree - differ, a + start, a + stop, name, saved, differ))
+            todo = [words_of(text[a:b])]
+            while todo:
+                words = todo.pop()
+                if best := self.best(text[a:b], words):
+                    _, name, saved, (differ, agree, start, stop) = best
+                    found.append((agree - differ, a + start, a + stop, name, saved, differ))
+                    todo += [[w for w in words if w[2] <= start], [w for w in words if w[1] >= stop]]
         kept: list[tuple] = []
         for f in sorted(found, key=lambda f: (-f[0], f[1], f[3])):
             if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
@@ -130,12 +156,12 @@ class Scanner:
         return [(s, e, name, saved, differ) for _, s, e, name, saved, differ in sorted(kept, key=lambda f: f[1])]
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, finalists: int = 4, tolerance: float = 0.15) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES | SHORT_FORMS, tolerance: float = 0.15) -> DataFrame:
     """doc_id, start, stop (code points), licence, saved (share of bytes) and differing words of every confirmed finding."""
     rows = docs.select("doc_id", "text")
 
     def run(batches):
-        scanner = Scanner(templates, finalists, tolerance)
+        scanner = Scanner(templates, tolerance)
         for batch in slices(batches, "text"):
             out = [(i, *f) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for f in scanner.scan(t)]
             kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]

@@ -160,6 +160,17 @@ def test_licences(spark, sf):
     assert texts[4][s.start : s.stop] == "Released under the MIT License" and s.saved > 0.3
 
 
+def test_licences_in_other_words_and_together():
+    scanner = licences.Scanner(licences.TEMPLATES | licences.SHORT_FORMS, 0.15)
+    names = lambda t: [f[2] for f in scanner.scan(t)]
+    assert names("Licensed under the MIT License.") == names("Distributed under the MIT License.") == ["MIT"]
+    assert names("It is licensed under a CC BY 4.0 license.") == ["CC-BY-4.0"]
+    assert names("Released under the MIT License and licensed under CC BY-NC 4.0") == ["MIT", "CC-BY-NC-4.0"]
+    assert names("Licensed under the Apache License, Version 2.0, or released under the MIT License, or licensed under CC BY-SA 4.0.") == ["Apache-2.0", "MIT", "CC-BY-SA-4.0"]
+    assert names("// SPDX-License-Identifier: Apache-2.0\n#include <x>") == ["Apache-2.0 SPDX"] and names("The MIT License") == ["MIT short"]
+    assert names("Released under the 2-clause BSD License.") == names("Licensed under CC BY 3.0.") == names("She studied at MIT and holds a driving licence.") == []
+
+
 def test_media_round_trip_and_transform():
     rng, matrix, z = np.random.default_rng(1), media.inverse_transform(), media.zigzag()
     assert z[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(z) == list(range(64))
