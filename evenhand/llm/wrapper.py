@@ -9,7 +9,8 @@ pages are counted for each text of each slot of a host (a slot is known by its p
 host's template says is not lost when single pages differ or the tree is pruned: exact copies of a page count once, and
 pages cut off within a slot count for its text only if they have it whole. Nodes with one text in at least ``support`` pages,
 in all of them or in a ``share`` of the counted ones, on a host whose other slots vary, are template; so is what stands in navigation,
-header, footer, aside, form, script and similar elements, or in elements whose class, id or role says so. Of the varying
+header, footer, aside, form, script and similar elements, or in elements whose whole class or role says so; parts of names and ids
+say so for elements that are mostly links, and outside of article and main, but ids of headings and sections don't. Of the varying
 slots the article element (or main) holds the content where there is one; else those that aren't mostly links.
 
 Defined results: null or empty html gives empty text; a page cut off anywhere is read as far as it goes; a page without a url or
@@ -41,13 +42,17 @@ BLOCKS = {
 # An element of the first kind ends an open one of the second kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "head", "svg", "canvas", "object", "figcaption"}
+ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "select", "button", "head", "svg", "canvas", "object"}
 # Words of class, id or role that say what an element is for.
 ASIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "form", "gdpr",
     "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pagination", "popup", "promo", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup",
     "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+# Elements whose ids are often made of their text.
+BY_TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "section"}
+# When an element that has such a name is left out: if it is mostly links; that, or outside of article and main; always (the element's kind, or a whole class or role).
+BY_LINKS, OUTSIDE, ALWAYS = 1, 2, 3
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
@@ -58,17 +63,25 @@ class Node:
 
     __slots__ = ("tag", "label", "aside", "runs", "slot", "open")
 
-    def __init__(self, tag: str, label: str, aside: bool):
+    def __init__(self, tag: str, label: str, aside: int):
         self.tag, self.label, self.aside, self.runs, self.slot, self.open = tag, label, aside, [], None, False
 
 
 def node_of(tag: str, attributes: str) -> Node:
-    words = sorted({w for m in NAMED.finditer(attributes) for w in re.split(r"[\s_\-]+", (m[2] or m[3] or m[4] or "").lower()) if w}) if "=" in attributes else []
-    return Node(tag, " ".join([tag, *words]), tag in ASIDE or any(w in ASIDE_WORDS for w in words))
+    named = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in NAMED.finditer(attributes)] if "=" in attributes else []
+    parts = [(k, w) for k, value in named for w in re.split(r"[\s_\-]+", value) if w]
+    said = {k for k, w in parts if w in ASIDE_WORDS}
+    if tag in ASIDE or any(k != "id" and w in ASIDE_WORDS for k, value in named for w in value.split()):
+        aside = ALWAYS
+    elif said == {"id"} and tag in BY_TEXT:
+        aside = 0 if tag != "section" else BY_LINKS
+    else:
+        aside = OUTSIDE if said else 0
+    return Node(tag, " ".join([tag, *sorted({w for _, w in parts})]), aside)
 
 
 def parse(html: str) -> Node:
-    root = Node("", "", False)
+    root = Node("", "", 0)
     stack, inline, links, text, linked = [root], [], 0, [], 0
 
     def flush():
@@ -143,7 +156,7 @@ def parse(html: str) -> Node:
         elif not m[3].endswith("/"):
             n = node_of(tag, m[3]) if tag in ASIDE or "=" in m[3] else None
             own = None
-            if n is not None and n.aside:  # an inline element with a purpose of its own stands apart
+            if n is not None and n.aside == ALWAYS:  # an inline element with a purpose of its own stands apart
                 flush()
                 stack[-1].runs.append(n)
                 stack.append(n)
@@ -277,6 +290,17 @@ def constant_slots(template: list, page: list, support: int, found: set[int]) ->
     return found
 
 
+def letters(n: Node) -> tuple[int, int]:
+    """Letters of an element, and those within links."""
+    pairs = [(len(r[0]), r[1]) if isinstance(r, tuple) else letters(r) for r in n.runs]
+    return sum(p[0] for p in pairs), sum(p[1] for p in pairs)
+
+
+def mostly_links(n: Node) -> bool:
+    total, linked = letters(n)
+    return linked * 2 > total
+
+
 def content(html: str | None, template: list | None, support: int, texts: frozenset[str] = frozenset()) -> str:
     """The main text of a page; ``texts`` are the counted template texts of its host, as path:digest."""
     if not html:
@@ -289,9 +313,9 @@ def content(html: str | None, template: list | None, support: int, texts: frozen
     blocks: list[tuple[str, int, str]] = []
 
     def walk(n: Node, region: str):
-        if n.aside:
-            return
         region = n.tag if n.tag == "article" or (n.tag == "main" and region != "article") or "main" in n.label.split()[1:] and not region else region
+        if n.aside == ALWAYS or n.aside == OUTSIDE and not region or n.aside and mostly_links(n):
+            return
         for r in n.runs:
             if not isinstance(r, tuple):
                 walk(r, region)

@@ -280,6 +280,13 @@ def test_template_texts_outlive_single_pages(spark):
         assert all("Own same" in got[50 + i] for i in range(9)) and "Own other" in got[60]
 
 
+def test_names_inside_the_article():
+    page = """<article><div class='article-header'><h1>Title</h1></div><h2 id='related-work'>Related work</h2><section id='social-impact'><p>Impact.</p></section><p class='search-results-intro'>We search.</p>
+      <p>A <span class='notice-term'>notice</span> is short.</p><figure><img src=x><figcaption>Figure 1</figcaption></figure><div class='share-box'><a href=a>Tweet</a> <a href=b>Mail</a></div><div class='comments'>Nice</div><nav>n</nav></article><p>out</p>"""
+    assert wrapper.content(page, None, 3) == "Title\nRelated work\nImpact.\nWe search.\nA notice is short.\nFigure 1"
+    assert wrapper.content("<h2 id='related-work'>Related</h2><div class='cookie-notice'>We bake</div><div id='footer'>f</div><p>Text</p>", None, 3) == "Related\nText"
+
+
 def test_given_pages(spark, sf):
     import html
 
