@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, langid, licences, media, mixing, neardup, repeats, tokenfile, topk, wrapper
+from evenhand.llm import bpe, chat, langid, licences, media, mixing, neardup, repeats, tokenfile, topk, wrapper
 from evenhand.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op9(spark, sf):
 @query("op10_language_id")
 def op10(spark, sf):
     return langid.predictions(documents(spark, sf))
+
+
+@query("op11_chat_formatting", chat.SQL)
+def op11(spark, sf):
+    return chat.formatted_and_read(spark.read.parquet(f"{sf}/conversations.parquet"))
