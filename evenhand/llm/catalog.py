@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bpe, chat, langid, licences, media, mixing, neardup, negatives, repeats, tokenfile, topk, wrapper
+from evenhand.llm import bpe, chat, langid, licences, media, mixing, neardup, negatives, repair, repeats, tokenfile, topk, wrapper
 from evenhand.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ def op11(spark, sf):
     return chat.formatted_and_read(spark.read.parquet(f"{sf}/conversations.parquet"))
 
 
+@query("op12_conversation_repair")
+def op12(spark, sf):
+    return repair.repaired_conversations(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 @query("op13_hard_negatives", negatives.SQL)
 def op13(spark, sf):
     return negatives.mined(spark.read.parquet(f"{sf}/embeddings.parquet"))
