@@ -81,7 +81,7 @@ def op11(spark, sf):
     return chat.formatted_and_read(spark.read.parquet(f"{sf}/conversations.parquet"))
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", repair.SQL)
 def op12(spark, sf):
     return repair.repaired_conversations(spark.read.parquet(f"{sf}/conversations.parquet"))
 

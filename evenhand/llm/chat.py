@@ -50,7 +50,7 @@ def unescaped(s: Column) -> Column:
 
 def tie(text: Column) -> Column:
     """What orders rows of equal turn and role."""
-    return F.concat(F.substring(text, 1, 32), F.md5(text.cast("binary")))
+    return F.concat(F.substring(text, 1, 32), F.lit("\x01"), F.md5(text.cast("binary")))
 
 
 def segments(conversations: DataFrame, template: Template = DEFAULT) -> DataFrame:
@@ -130,7 +130,7 @@ def formatted_and_read(conversations: DataFrame, template: Template = DEFAULT) -
 #: The same figures in SQL; escaping lengthens a text by a character for each backslash and each ``<|``.
 SQL = """with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
- f as (select *, '<|turn|>' || replace(replace(role, '\\', '\\\\'), '<|', '<\\|') || '<|text|>' || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|end|>' as segment, substr(text, 1, 32) || md5(text) as tie from c),
+ f as (select *, '<|turn|>' || replace(replace(role, '\\', '\\\\'), '<|', '<\\|') || '<|text|>' || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|end|>' as segment, substr(text, 1, 32) || chr(1) || md5(text) as tie from c),
  s as (select *, sum(length(segment)) over (partition by conv_id order by turn nulls first, role, tie rows unbounded preceding) as upto from f)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, tie)) as turns_sha256,
  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, tie) filter (role = 'assistant'), '')) as loss_sha256,

@@ -11,7 +11,7 @@ each anchor's positives, the second, with the windows that their scores open, it
 Defined results: rows with a null vec_id, label or vector, or with any null or non-finite component, take no part; an anchor's own id is neither positive nor
 negative of it; repeated rows are anchors, positives and negatives of their own; ties go to the smaller vec_id; an anchor without another row of its label
 has no positives, a positive without a row in its window no negatives; an empty table has no results. Vectors shorter than the longest count as zero there, and an empty vector is zero everywhere. Scores
-beyond a long are compared exactly and shown as the nearest long.
+beyond a long are compared exactly and shown as the nearest long; vectors whose scores could have over 400 digits (none of floats has) are an error.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from evenhand.llm.common import written
 
 PRIMES = [1021, 1019, 1013, 1009, 997, 991, 983, 977, 971, 967, 953, 947, 941, 937, 929, 919]
 SLICE = 64  # components whose products float32 sums exactly: SLICE * 510 * 510 < 2 ** 24
+COMPLEMENT = str.maketrans("0123456789", "9876543210")
 BLOCK = 4096  # rows of a block
 RUN = 4  # blocks of a run at least
 GROUP = 32768  # anchors of a group at most
@@ -102,6 +103,8 @@ class Residues:
                 break
             self.primes.append(p)
             self.product *= p
+        if self.product <= 2 * bound + 1:
+            raise ValueError("scores of over 400 digits")
         self.weights = [self.product // p * pow(self.product // p, -1, p) for p in self.primes]
         # with few primes all sums of the reconstruction are exact doubles
         self.simple = len(self.primes) * 1024 * self.product < 1 << 53
@@ -147,6 +150,16 @@ def further() -> Iterator[int]:
     return (p for p in range(1021, 100, -1) if all(p % q for q in range(2, 32)))
 
 
+def ordered(x: int) -> str:
+    """A whole number of up to 499 digits as text in the same order: sign and number of digits (500 and more; less for negative numbers), then the digits, of negative numbers their complements."""
+    s = str(abs(x))
+    return f"{500 + len(s):04d}{s}" if x >= 0 else f"{500 - len(s):04d}{s.translate(COMPLEMENT)}"
+
+
+def whole(s: str) -> int:
+    return int(s[4:]) if s >= "0500" else -int(s[4:].translate(COMPLEMENT))
+
+
 def best(key: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores of each key, ties by the smaller id."""
     order = np.lexsort((ids, -score, key))
@@ -252,7 +265,7 @@ def mined(vectors: DataFrame, scale: int = 256, every: int = 100, most: int = 5,
                 if found is not None and len(found.key):
                     for p in range(0, len(found.key), 65536):
                         key = found.key[p : p + 65536]
-                        yield pa.RecordBatch.from_arrays([pa.array([made["key"][x] for x in key // keyed], pa.int64()), pa.array((key % keyed).astype(np.int32)), pa.array([str(int(x)) for x in found.score[p : p + 65536]], pa.string()), pa.array(found.ids[p : p + 65536])], names=["key", "place", "score", "other"])
+                        yield pa.RecordBatch.from_arrays([pa.array([made["key"][x] for x in key // keyed], pa.int64()), pa.array((key % keyed).astype(np.int32)), pa.array([ordered(int(x)) for x in found.score[p : p + 65536]], pa.string()), pa.array(found.ids[p : p + 65536])], names=["key", "place", "score", "other"])
 
             for batch in batches:
                 for r in batch.to_pylist():
@@ -274,14 +287,13 @@ def mined(vectors: DataFrame, scale: int = 256, every: int = 100, most: int = 5,
             windows = np.zeros((len(rows), most), kind)
             for i, r in enumerate(rows):
                 for j, s in enumerate(r[4] or []):
-                    windows[i, j] = kind(int(s)) if kind is not object else int(s)
+                    windows[i, j] = whole(s) if kind is object else kind(whole(s))
             return {"key": [r[0] for r in rows], "id": np.array([r[1] for r in rows]), "label": np.array([r[2] for r in rows]), "residues": arithmetic.of(np.array([r[3] for r in rows]).reshape(len(rows), width)),
                     "windows": windows, "count": np.array([len(r[4] or []) for r in rows])}
 
         both = sent.unionByName(beside).repartition(groups * runs, "g", "run").sortWithinPartitions("g", "run", "kind")
         found = both.mapInArrow(work, "key bigint, place int, score string, other bigint")
-        score = F.col("score").cast("decimal(38,0)")
-        nth = F.row_number().over(Window.partitionBy("key", "place").orderBy(score.desc(), "other"))
+        nth = F.row_number().over(Window.partitionBy("key", "place").orderBy(F.desc("score"), "other"))
         return found.withColumn("nth", nth).where(F.col("nth") <= k)
 
     if not n or not m:
@@ -292,8 +304,9 @@ def mined(vectors: DataFrame, scale: int = 256, every: int = 100, most: int = 5,
     ends = anchors.select("key", F.col("id").alias("anchor_id"))
 
     def as_long(c: str) -> Column:
-        d = F.col(c).cast("decimal(38,0)")
-        return F.least(F.greatest(d, F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("bigint").alias(c)
+        most = F.lit(ordered(2**63 - 1)), F.lit(ordered(-(2**63)))
+        digits = F.substring(F.greatest(F.least(F.col(c), most[0]), most[1]), 5, 400)
+        return F.when(F.col(c) >= ordered(0), digits).otherwise(F.concat(F.lit("-"), F.translate(digits, "0123456789", "9876543210"))).cast("bigint").alias(c)
 
     out = found.select("key", "place", F.col("nth").alias("rank"), F.col("score").alias("negative_score"), F.col("other").alias("negative_id")).join(pos, ["key", "place"]).join(ends, "key")
     return out.select("anchor_id", "positive_id", "rank", "negative_id", as_long("positive_score"), as_long("negative_score"))

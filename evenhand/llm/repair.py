@@ -282,3 +282,25 @@ def repaired_conversations(conversations: DataFrame) -> DataFrame:
     all_ = conversations.select("conv_id").distinct().select("conv_id", *[F.lit(None).cast("bigint").alias(c) for c in counts], F.lit(None).cast("string").alias("audit"), F.lit(None).cast("string").alias("repaired_sha256"))
     first = lambda c, d: F.coalesce(F.max(c), F.lit(d)).alias(c)
     return all_.unionByName(whole).unionByName(hashes).groupBy("conv_id").agg(*[first(c, 0).cast("bigint").alias(c) for c in counts], first("audit", ""), first("repaired_sha256", hashlib.sha256(b"").hexdigest()))
+
+
+#: The same results in SQL: from a conversation's end, the best (cost, audit, turns) of each grammar state (1 nothing yet, 2 system, 3 user, 4 assistant).
+SQL = r"""with recursive o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+ h as (select *, list_reduce(list_concat([4294967295], flatten([[ascii(k[i]), -1, -1, -1, -1, -1, -1, -1, -1] for i in range(1, len(k) + 1)])), lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end) as reg from o),
+ d as (select *, xor(reg, 4294967295) % 20 as code from h),
+ r as (select conv_id, turn, case when code = 4 then 'user' else role end as role, case when code = 1 then '' when code = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when code = 3 then [0, 1] else [0] end) as n from d where code <> 0),
+ f as (select *, row_number() over (partition by conv_id, role, text order by turn nulls first, n) as nth, substr(text, 1, 32) || chr(1) || md5(text) as tie,
+   trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as bare, row_number() over (partition by conv_id order by turn nulls first, role, substr(text, 1, 32) || chr(1) || md5(text), n) as pos, count(*) over (partition by conv_id) as len from r),
+ l as (select *, bare = '' as blank, bare <> '' and nth > 1 as dup, bare <> '' and nth = 1 and right(bare, 1) not in ('.', '!', '?') as cut, substr(role, 1, 1) as ini, lag(substr(role, 1, 1)) over (partition by conv_id order by pos) as prev from f),
+ c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (dup) as duplicate, count(*) filter (cut) as truncated,
+   count(*) filter (prev is not null and prev || ini not in ('su', 'ua', 'au')) as illegal, max(len) as len from l group by conv_id),
+ w as (select conv_id, cast(0 as bigint) as k, [{'c': 0, 'a': '', 'r': ''}, {'c': 4, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:' || chr(10)}, {'c': 2, 'a': 'I', 'r': 'assistant:' || chr(10)}, {'c': 0, 'a': '', 'r': ''}] as s from c
+  union all select conv_id, k, [list_sort([b[i], {'c': 2 + b[[3, 3, 4, 3][i]].c, 'a': 'I' || b[[3, 3, 4, 3][i]].a, 'r': case when i = 3 then 'assistant:' else 'user:' end || chr(10) || b[[3, 3, 4, 3][i]].r},
+     {'c': 4 + b[[4, 4, 3, 4][i]].c, 'a': 'II' || b[[4, 4, 3, 4][i]].a, 'r': case when i = 3 then 'assistant:' || chr(10) || 'user:' else 'user:' || chr(10) || 'assistant:' end || chr(10) || b[[4, 4, 3, 4][i]].r}])[1] for i in [1, 2, 3, 4]] as s
+   from (select w.conv_id, w.k + 1 as k, [list_sort(list_filter([{'c': 3 + w.s[i].c, 'a': 'D' || w.s[i].a, 'r': w.s[i].r},
+      case when not blank and not dup and ((ini = 's' and i = 1) or (ini = 'u' and i <> 3) or (ini = 'a' and i = 3)) then {'c': cast(cut as int) + w.s[case ini when 's' then 2 when 'u' then 3 else 4 end].c, 'a': 'K' || w.s[case ini when 's' then 2 when 'u' then 3 else 4 end].a, 'r': role || ':' || text || chr(10) || w.s[case ini when 's' then 2 when 'u' then 3 else 4 end].r} end,
+      case when not blank and not dup then {'c': 2 + cast(cut as int) + w.s[[3, 3, 4, 3][i]].c, 'a': 'R' || w.s[[3, 3, 4, 3][i]].a, 'r': case when i = 3 then 'assistant:' else 'user:' end || text || chr(10) || w.s[[3, 3, 4, 3][i]].r} end], lambda x: x is not null))[1] for i in [1, 2, 3, 4]] as b
+     from w join l on l.conv_id is not distinct from w.conv_id and l.pos = l.len - w.k))
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(s[1].c, 0) as bigint) as cost, coalesce(s[1].a, '') as audit,
+ sha256(coalesce(substr(s[1].r, 1, length(s[1].r) - 1), '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join c on c.conv_id is not distinct from a.conv_id left join w on w.conv_id is not distinct from c.conv_id and w.k = c.len"""
