@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def fsum(columns) -> Column:
@@ -36,7 +35,9 @@ def unpivot(df: DataFrame, keys, columns, name: str = "covariate", value: str =
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df for a broadcast, its size checked as it runs: with more than ``most`` rows the query ends with an error and nothing is broadcast."""
-    n = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
+    """df for a broadcast, its size checked as it runs: with more than ``most`` rows the query ends with an error and nothing is broadcast.
+
+    The rows are counted by partial sums beside the table; the table itself is not moved for it."""
+    n = df.agg(F.count(F.lit(1)).alias("__rows"))
     within = F.when(F.col("__rows") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {most} rows to broadcast")))
-    return F.broadcast(df.withColumn("__rows", n).where(within).drop("__rows"))
+    return F.broadcast(df.crossJoin(F.broadcast(n)).where(within).drop("__rows"))

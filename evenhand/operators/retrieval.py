@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -98,44 +96,6 @@ def cosine(index: DataFrame, query: DataFrame, floor: float = 0.0) -> DataFrame:
     return s.where(F.col("score") >= floor) if floor else s
 
 
-# Dense vectors
-
-
-def dense_top(windows: DataFrame, queries: DataFrame, k: int, limit: int = 100_000) -> DataFrame:
-    """(query_id, chunk_id, score): per query the ``k`` chunks with the best window (dot product of unit vectors).
-
-    The query matrix has a checked size and travels with the task; every Arrow batch is one matrix product that returns
-    its own best ``k`` chunks per query, and the exact best ``k`` overall follow from a grouped maximum and a top-k.
-    """
-    rows = queries.select("query_id", "embedding").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} query vectors: split the query table")
-    ids = [r["query_id"] for r in rows]
-    qm = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    qm /= np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), 1e-12)
-
-    def score(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            chunk = pd.factorize(batch.column("chunk_id").to_pandas())
-            vec = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
-            sims = vec @ qm.T
-            best = np.full((len(chunk[1]), len(ids)), -np.inf)
-            np.maximum.at(best, chunk[0], sims)
-            m = min(k + 1, len(best))
-            cut = np.partition(best, len(best) - m, axis=0)[len(best) - m]
-            at = np.nonzero(best >= cut)  # ties with the last one are all kept
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[at[1]], pa.int64()), pa.array(np.asarray(chunk[1])[at[0]], pa.int64()), pa.array(best[at])],
-                                             ["query_id", "chunk_id", "score"])
-
-    part = windows.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding").mapInArrow(score, "query_id bigint, chunk_id bigint, score double")
-    best = part.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 # Ranks, fusion, top k
 
 
@@ -231,9 +191,10 @@ def abstention(queries: DataFrame, fused: DataFrame, passages: DataFrame, stop=X
                min_score: float = MIN_SCORE, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(query_id, status, reason, best, coverage): every query keeps its row.
 
-    Coverage is the share of distinct question words (or a word added for them) found in the keyword-ranked top k.
+    Coverage is the share of distinct question words (or a word added for them) found in the keyword-ranked top k. ``fused`` holds all candidates, or
+    the best of a bounded search with the question's highest keyword score beside them.
     """
-    best = fused.groupBy("query_id").agg(F.max("bm25").alias("best"))
+    best = fused.groupBy("query_id").agg(F.max("best_bm25" if "best_bm25" in fused.columns else "bm25").alias("best"))
     gate = top_k(fused, [F.desc("rrf"), "pos"], k).select("query_id", "pos")
     shown = gate.join(passages.select("pos", F.array_distinct(X.tokens(F.col("text"), stop)).alias("t")), "pos").select("query_id", F.explode("t").alias("word")).distinct()
     asked = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text"), stop))).alias("asked"))

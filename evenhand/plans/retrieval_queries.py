@@ -10,8 +10,10 @@ from evenhand import config as cfg
 from evenhand.functions import text as X
 from evenhand.functions.stats import rnd, small, union_all
 from evenhand.operators import corpus as K
+from evenhand.operators import dense as D
 from evenhand.operators import ireval as I
 from evenhand.operators import retrieval as H
+from evenhand.operators import search as S
 from evenhand.plans import corpus_queries as G
 from evenhand.plans import source_queries as A
 from evenhand.plans import sqlviews as V
@@ -107,7 +109,7 @@ def h06(spark, sf):
     parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     q = parts.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
     w = e.select(F.floor(F.col("vec_id") / 5).alias("chunk_id"), "embedding")
-    return rnd(H.dense_top(w, q, 5).select("query_id", "rank", "chunk_id", "score"), 5)
+    return rnd(D.nearest(w, q, 5).select("query_id", "rank", "chunk_id", "score"), 5)
 
 
 @query("h07_ranks", "with " + FUSED + " select query_id, count(*) n, cast(sum(rb) as bigint) bm25_ranks, cast(sum(rv) as bigint) vector_ranks, cast(sum(rb*(pos%97)) as bigint) bm25_check, cast(sum(rv*(pos%97)) as bigint) vector_check from fu group by 1")
@@ -183,8 +185,11 @@ def h12(spark, sf):
 
 
 def best_passages(spark, sf, fused=None):
-    f = H.hybrid(passages(spark, sf), items(spark, sf)) if fused is None else fused
-    return H.top_k(f, [F.desc("rrf"), "pos"])
+    """The best five of each item: bounded search, or from rankings that are there already."""
+    if fused is None:
+        plan = S.Plan.plain(items(spark, sf))
+        return S.fused_top(S.build(passages(spark, sf), plan), plan)
+    return H.top_k(fused, [F.desc("rrf"), "pos"])
 
 
 @query("h13_top_passages", V.rounded('select query_id, "rank", pos, b bm25, v vector, rrf from tp', ["query_id", 'cast("rank" as int) "rank"', "pos"], ["bm25", "vector", "rrf"], 5, FUSED))
@@ -192,6 +197,35 @@ def h13(spark, sf):
     return rnd(best_passages(spark, sf).select("query_id", "rank", "pos", "bm25", "vector", "rrf"), 5)
 
 
+DRIVER_QUERIES = ["the tion with of", "ent elle de la", "der die lich ung"]
+# every ranking over all passages: each sentence's keywords, the n-grams as asked, the drivers' keywords together, the vectors
+ALL_RANKINGS = VEC + """, qs as (select item_id query_id, unnest(range(len(string_split(regexp_replace(text,'([.!?])\\s+','\\1'||chr(1),'g'),chr(1))))) sub_id, unnest(string_split(regexp_replace(text,'([.!?])\\s+','\\1'||chr(1),'g'),chr(1))) s from benchmark),
+ dq as (select query_id, 1001 sub_id, [""" + ",".join(f"'{d}'" for d in DRIVER_QUERIES) + """][1+query_id%3] s from qi union all select query_id, 1001, 'and on in' from qi where query_id%2=0),
+ q2 as (select query_id, sub_id, term, count(*) qtf from (select query_id, sub_id, unnest(""" + toks("s") + """) term from (select * from qs where trim(s)<>'' union all select * from dq)) group by all),
+ bs as (select query_id, sub_id, pos, round(sum(qtf*idf*tf*2.5/(tf+1.5*(0.25+0.75*dl/avgdl))),9) score from q2 join pt using (term) join tt using (term), st group by all union all select query_id, 1000, pos, score from vc),
+ rs as (select distinct query_id, sub_id from qs where trim(s)<>'' union select distinct query_id, 1001 from dq union select query_id, 1000 from qi),
+ ev as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings),
+ ew as (select vec_id % n pos, v from ev, st), dn as (select q.vec_id query_id, w.pos, max(round(list_dot_product(w.v,q.v)/sqrt(list_dot_product(w.v,w.v))/sqrt(list_dot_product(q.v,q.v)),9)) score from ev q join qi on qi.query_id=q.vec_id, ew w group by q.vec_id, w.pos),
+ ra as (select rs.query_id, sub_id, pos, score, row_number() over (partition by rs.query_id, sub_id order by coalesce(score,0) desc, pos) r from rs cross join ps left join bs using (query_id, sub_id, pos)
+   union all select query_id, 1002, pos, score, row_number() over (partition by query_id order by score desc, pos) from dn),
+ fa as (select query_id, pos, sum(1.0/(60+r)) rrf, coalesce(max(score) filter (sub_id<1000),0) b, coalesce(max(score) filter (sub_id=1000),0) v, count(*) votes from ra group by 1,2 having b>0 or v>0)"""
+
+
+@query("h12_all_rankings", V.rounded("select query_id, row_number() over (partition by query_id order by round(rrf,12) desc, pos) \"rank\", pos, b bm25, v vector, rrf, votes from fa qualify row_number() over (partition by query_id order by round(rrf,12) desc, pos)<=5",
+                                     ["query_id", 'cast("rank" as int) "rank"', "pos", "votes"], ["bm25", "vector", "rrf"], 5, ALL_RANKINGS))
+def h12_all(spark, sf):
+    """Each sentence of an item is a sub-query, drivers and vectors only re-order; a document's windows are the vectors dealt to it in turn."""
+    q, e = items(spark, sf), T.table(spark, sf, "embeddings")
+    parts = q.select("query_id", F.posexplode(X.sentences(F.col("text"))).alias("sub_id", "text"))
+    named = F.element_at(F.array(*[F.lit(d) for d in DRIVER_QUERIES]), (F.col("query_id") % 3 + 1).cast("int"))
+    drivers = q.select("query_id", named.alias("text")).unionByName(q.where("query_id % 2 = 0").select("query_id", F.lit("and on in").alias("text")))
+    plan = S.Plan(q, parts, drivers)
+    index = S.build(passages(spark, sf), plan)
+    best = S.fused_top(index, plan, vectors=e.select((F.col("vec_id") % index.n).alias("pos"), "embedding"), asked_vectors=e.join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding"))
+    votes = F.size(F.filter(F.map_values("ranks"), lambda r: r.isNotNull()))
+    return rnd(best.select("query_id", "rank", "pos", "bm25", "vector", "rrf", votes.cast("bigint").alias("votes")), 5)
+
+
 @query("h14_diverse_sources", "with " + FUSED + """, pl as (select query_id, pos, source, row_number() over (partition by query_id order by v desc, pos) r from al join ps using (pos) where v>=0.02 qualify row_number() over (partition by query_id order by v desc, pos)<=18),
  sr as (select *, row_number() over (partition by query_id, source order by r) s from pl), pk as (select *, row_number() over (partition by query_id order by case when s>1 then 1 else 0 end, r) pick from sr)
  select query_id, cast(pick as int) pick, pos, source from pk where pick<=3""")
@@ -226,7 +260,7 @@ LIMITS = dict(min_score=8.0, min_coverage=0.8)
 @query("h15_abstention", V.rounded("select query_id, status, coalesce(reason,'') reason, best, coverage from gt8", ["query_id", "status", "reason"], ["best", "coverage"], 5, COVER))
 def h15(spark, sf):
     p, q = passages(spark, sf), items(spark, sf)
-    g = H.abstention(q, H.hybrid(p, q), p, equivalents=added_words(spark, sf), **LIMITS)
+    g = H.abstention(q, materialise(best_passages(spark, sf), "best"), p, equivalents=added_words(spark, sf), **LIMITS)
     return rnd(g.withColumn("reason", F.coalesce("reason", F.lit(""))), 5)
 
 
@@ -263,9 +297,10 @@ def bundles(spark, sf):
     p = d.select(F.col("doc_id").alias("pos"), X.dose_free(F.col("text")).alias("text"), "source", F.substring_index("text", "\n", 1).alias("section"))
     shown = d.select(F.col("doc_id").alias("pos"), "text", "source").join(small(A.register(spark).withColumnRenamed("id", "source")), "source")
     q = items(spark, sf)
-    f = H.hybrid(p, q)
-    gate = H.abstention(q, f, p, **LIMITS)
-    return H.evidence_bundle(gate, best_passages(spark, sf, f), shown, K.source_label(section=None, page=None))
+    plan = S.Plan.plain(q)
+    best = materialise(S.fused_top(S.build(p, plan), plan), "best")
+    gate = H.abstention(q, best, p, **LIMITS)
+    return H.evidence_bundle(gate, best, shown, K.source_label(section=None, page=None))
 
 
 BUNDLE = COVER.replace("ps as (select doc_id pos, text, source, string_split(text,chr(10))[1] section, lang from documents)",
