@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evenhand.operators import diagnostics as D
@@ -69,10 +70,57 @@ def test_matching_equals_brute_force(spark):
     got = {r["arm"]: r["value"] for r in N.matched_means(df).collect()}
     for a in "ABC":
         assert abs(got[a] - means[a]) < 1e-9
-    boxes = N.Boxes(lv, 20)
-    best = np.full(n, 0.05)
-    rows, box = boxes.within(lv, best)
-    assert boxes.count > 5 and set(zip(np.arange(n), boxes.home(lv))) <= set(zip(rows, box))
+
+
+def test_boxes_reach_all_near_points(spark):
+    rng = np.random.default_rng(4)
+    pts = np.round(rng.normal(size=(500, 3)), 1)
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pts], "a double, b double, c double")
+    boxes = N.Boxes.over(df, ["a", "b", "c"], 20)
+    home, radius = boxes.home(pts), rng.uniform(0, 1, 500)
+    assert 10 < len(set(home)) and home.max() < boxes.offset[-1]
+    reached = set(zip(*boxes.within(pts, radius)))
+    for i in range(500):
+        near = np.flatnonzero(((pts - pts[i]) ** 2).sum(1) <= radius[i] ** 2)
+        assert {(i, home[j]) for j in near} <= reached
+
+
+@pytest.mark.parametrize("first,leaf", [(1, 10), (16, 512)])
+def test_matching_replicates_equal_brute_force(spark, monkeypatch, first, leaf):
+    """Every replicate matched anew among the units that it counts; vectors shared by many units, ties, parts of boxes."""
+    monkeypatch.setattr(N, "UNITS", 40)
+    monkeypatch.setattr(N, "NEAR", 2)
+    rng = np.random.default_rng(8)
+    n, reps = 400, 6
+    e = rng.dirichlet([2, 2, 2], n).round(1) + 0.05
+    arm, y = np.array(list("ABC"))[rng.choice(3, n, p=[0.6, 0.3, 0.1])], rng.normal(size=n)
+    df = spark.createDataFrame([(i, a, float(v), *map(float, p)) for i, (a, v, p) in enumerate(zip(arm, y, e))], "unit_id bigint, arm string, y double, e_A double, e_B double, e_C double")
+    w = np.array([r["w"] for r in df.select("unit_id", N.counts(reps).alias("w")).orderBy("unit_id").collect()])
+    assert (w[:, 0] == 1).all() and abs(w[:, 1:].mean() - 1) < 0.1 and w.max() > 2
+    got = {(r["rep"], r["arm"]): r["value"] for r in N.matched_means(df, replicates=reps, leaf=leaf, first=first).collect()}
+    lv = np.array([[np.log(x) for x in p] for p in e])
+    for b in range(reps + 1):
+        for a in "ABC":
+            d = np.flatnonzero((arm == a) & (w[:, b] > 0))
+            near = []
+            for q in lv:
+                dist = np.zeros(len(d))
+                for k in range(3):
+                    dist += (q[k] - lv[d, k]) ** 2
+                near.append(d[dist.argmin()])
+            want = np.average(np.where(arm == a, y, y[near]), weights=w[:, b])
+            assert abs(got[b, a] - want) < 1e-9
+
+
+def test_bootstrap_interval_holds_the_planted_truth(spark, sf):
+    units = T.planted(spark, sf)
+    for a in "ABC":
+        units = units.withColumn(f"e_{a}", F.col(f"e_true_{a}"))
+    truth = units.agg(*[F.avg(f"mu_true_{a}").alias(a) for a in "ABC"]).first()
+    for r in N.matching(units, replicates=40).collect():
+        a, _, b = r["target"].partition("-")
+        want = truth[a] - (truth[b] if b else 0)
+        assert 0 < r["se"] < 0.2 and abs(r["value"] - want) < 2.5 * r["se"] + 0.02, r
 
 
 def test_placebo_keeps_arm_counts(spark, sf):
