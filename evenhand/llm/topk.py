@@ -10,7 +10,7 @@ rows a query, which are merged by query.
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part, nor do rows without a
 vec_id; a query is never its own result; repeated vec_ids are separate candidates but no candidates of a query with their id; ties go to the smaller vec_id; an
-empty table has no results; fewer candidates than k are all returned. Vectors shorter than the longest count as zero there.
+empty table has no results; fewer candidates than k are all returned; components are quantised to longs, scores beyond a long are compared exactly and shown as the nearest long. Vectors shorter than the longest count as zero there.
 """
 
 from __future__ import annotations
@@ -30,13 +30,22 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return vectors.where(good & F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("bigint")).alias("v"))
 
 
+def exact_kind(d: int, most: int) -> tuple[type, float]:
+    """The fastest type in which scores of d components of up to ``most`` are exact, and a value below all of them."""
+    if d * most * most < 1 << 23:
+        return np.float32, -np.inf
+    if d * most * most < 1 << 52:
+        return np.float64, -np.inf
+    return (np.int64, np.iinfo(np.int64).min) if d * most * most < 1 << 61 else (object, -np.inf)
+
+
 class SortedLists:
-    """A block of vectors as one sorted list per component. Sums are exact: single precision only where all scores fit into it."""
+    """A block of vectors as one sorted list per component. Sums are exact: floats only where all scores fit into them, Python integers where longs don't hold them."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, most: int = 1 << 30, steps: int = 8):
         order = np.argsort(ids, kind="stable")
         n, d = v.shape
-        self.kind = np.float32 if d * most * most < 1 << 23 else np.float64
+        self.kind, self.lowest = exact_kind(d, most)
         self.ids, self.v = ids[order], v[order].astype(self.kind)
         rank = np.empty((n, d), np.int32)
         by = np.argsort(self.v, axis=0, kind="stable")
@@ -67,13 +76,14 @@ class SortedLists:
             best = low + (up[live] * last_high) @ unread_high + (down[live] * last_low) @ unread_low
             worst = low + (up[live] * self.sorted[0]) @ unread_high + (down[live] * self.sorted[-1]) @ unread_low if depth < n else best.copy()
             own = self.ids[None, :] == qid[live][:, None]
-            best[own] = worst[own] = -np.inf
-            kth = np.partition(worst, n - k, axis=1)[:, n - k] if n >= k else np.full(len(live), -np.inf)
+            best[own] = worst[own] = self.lowest
+            kth = np.partition(worst, n - k, axis=1)[:, n - k] if n >= k else np.full(len(live), self.lowest)
             left = (best >= kth[:, None]) & ~own
             few = left.sum(axis=1) <= max(4 * k, n // 16)
             for i in np.flatnonzero(few | (depth == n)):
                 at = np.flatnonzero(left[i])
-                score = self.v[at].astype(np.float64) @ q[live[i]]  # resolved
+                wide = np.float64 if self.kind is np.float32 else self.kind
+                score = self.v[at].astype(wide) @ q[live[i]].astype(wide)  # resolved
                 top = np.lexsort((self.ids[at], -score))[:k] if len(at) <= 4 * k else self.first(score, at, k)
                 rows.append(np.full(len(top), live[i]))
                 out_ids.append(self.ids[at[top]])
@@ -82,7 +92,7 @@ class SortedLists:
             live, low = live[go_on], low[go_on]
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(rows), np.concatenate(out_ids), np.concatenate(out_scores).astype(np.int64)
+        return np.concatenate(rows), np.concatenate(out_ids), np.concatenate(out_scores)
 
     @staticmethod
     def first(score: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -93,14 +103,21 @@ class SortedLists:
         return top[np.lexsort((at[top], -score[top]))]
 
 
+def halves(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """high and low: a score is high * 2 ** 62 + low, in the same order."""
+    scores = scores if scores.dtype == object else scores.astype(np.int64)
+    return (scores >> 62).astype(np.int64), (scores & ((1 << 62) - 1)).astype(np.int64)
+
+
 def packed(rows: DataFrame, blocks: int) -> DataFrame:
     """The rows in ``blocks`` blocks by hash: block, ids and values as arrays, one row a block."""
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         lists = table.column("v").combine_chunks()
         size = np.array(lists.value_lengths())
-        v = np.zeros((len(ids), int(size.max(initial=0))), np.int32)
+        v = np.zeros((len(ids), int(size.max(initial=0))), np.int64)
         v[np.arange(v.shape[1])[None, :] < size[:, None]] = np.asarray(lists.flatten())
+        v = v.astype(np.int32) if np.abs(v).max(initial=0) < 1 << 31 else v
         return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([ids.astype(np.int64).tobytes()]), pa.array([v.tobytes()]), pa.array([v.shape[1]], pa.int32())], names=["block", "ids", "v", "width"])
 
     return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, ids binary, v binary, width int")
@@ -108,14 +125,14 @@ def packed(rows: DataFrame, blocks: int) -> DataFrame:
 
 def unpack(ids: bytes, v: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(v, np.int32).reshape(len(i), width) if width else np.zeros((len(i), 0), np.int32)
+    return i, np.frombuffer(v, np.int32 if len(v) == 4 * len(i) * width else np.int64).reshape(len(i), width).astype(np.int64) if width else np.zeros((len(i), 0), np.int64)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block: int = 4096, together: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block: int = 4096, together: int = 512, tasks: int = 1 << 16) -> DataFrame:
     """query_id, rank, vec_id, score: the k best vectors of each query row. ``is_query`` selects the query rows.
 
     Every pair of a query block and a vector block is one row of two packed blocks; no rows are paired. A group of pairs
-    shares its vector block's lists."""
+    shares its vector block's lists; there are at most ``tasks`` groups, which read their pairs one after another."""
     rows = written(quantised(vectors, scale), "vectors")
     n, m = rows.count(), rows.where(is_query).count()
     if not n or not m:
@@ -123,7 +140,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bl
     vb, qb = -(-n // block), -(-m // together)
     lists = written(packed(rows, vb), "vector_blocks")
     asked = packed(rows.where(is_query), qb).select(F.col("block").alias("query_block"), F.col("ids").alias("qids"), F.col("v").alias("qv"), F.col("width").alias("qwidth"))
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)))).repartition(vb * qb, "block", "query_block").join(lists, "block")
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)))).repartition(min(vb * qb, tasks), "block", "query_block").join(lists, "block")
 
     def run(batches):
         made: tuple[tuple, SortedLists] | None = None
@@ -139,11 +156,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bl
                 for at in range(0, len(qids), 256):
                     part = qids[at : at + 256]
                     row, vec, score = made[1].search(part, q[at : at + 256], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+                    high, low = halves(score)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(vec), pa.array(high), pa.array(low)], names=["query_id", "vec_id", "high", "low"])
 
-    found = pairs.select("block", "ids", "v", "width", "qids", "qv", "qwidth").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = pairs.select("block", "ids", "v", "width", "qids", "qv", "qwidth").mapInArrow(run, "query_id bigint, vec_id bigint, high bigint, low bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
+    score = F.when(F.col("high") > 1, F.lit(2**63 - 1)).when(F.col("high") < -2, F.lit(-(2**63))).otherwise(F.shiftleft("high", 62) + F.col("low"))
+    return found.withColumn("rank", rank).withColumn("score", score).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: Every score in SQL, for small tables.
