@@ -19,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import quoted, slices, without
 
 SPANS = "array<struct<start:int,stop:int,lang:string>>"
-RESULT = ["lang_pred", "score", "spans"]
+RESULT = ["lang_pred", "score", "spans", "fit"]
 BUCKETS = 1 << 16  # the top 16 bits of a hash
 # Unicode ranges of scripts (fixed values).
 SCRIPTS = [
@@ -33,7 +34,7 @@ SCRIPTS = [
     ("Devanagari", 0x900, 0x97F), ("Bengali", 0x980, 0x9FF), ("Tamil", 0xB80, 0xBFF), ("Thai", 0xE00, 0xE7F), ("Georgian", 0x10A0, 0x10FF), ("Hangul", 0x1100, 0x11FF),
     ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x1F00, 0x1FFF), ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF),
 ]
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")  # letters with their marks; no digits, fractions or number signs
 
 
 def script_of(word: str) -> str:
@@ -72,12 +73,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = 8000, max_langs: int = 64) -> Model:
-    """Counts over about ``sample_rows`` labelled rows; more than ``max_langs`` languages are an error."""
+def labelled_rows(docs: DataFrame, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` labelled rows that are not held out."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     n = labelled.count()
     share = min(1.0, sample_rows / max(1, n))
-    part = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def fit(docs: DataFrame, sample_rows: int = 8000, max_langs: int = 64) -> Model:
+    """Counts over about ``sample_rows`` labelled rows; more than ``max_langs`` languages are an error."""
+    part = labelled_rows(docs, sample_rows)
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
@@ -127,6 +133,7 @@ class Words:
         self.ids: dict[str, int] = {}
         self.n = 1
         self.score = np.zeros((1 << 12, len(self.model.langs)), np.float32)
+        self.whole = np.zeros((1 << 12, len(self.model.langs)), np.float32)  # log-likelihoods, not relative to the best language
         self.letters = np.zeros(1 << 12, np.int32)
 
     def add(self, new: list[str]) -> None:
@@ -150,11 +157,13 @@ class Words:
             if ok is not None and ok.any():
                 score[np.ix_(at, ~ok)] = top[at] - 20
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        whole = np.stack([np.bincount(word, weights=score[:, j] * size, minlength=len(new)) for j in range(score.shape[1])], axis=1)
         score = (score - score.max(axis=1, keepdims=True)) * np.minimum(size, 20)[:, None]
         total = np.stack([np.bincount(word, weights=score[:, j], minlength=len(new)) for j in range(score.shape[1])], axis=1)
         while self.n + len(new) > len(self.letters):
-            self.score, self.letters = np.concatenate([self.score, np.zeros_like(self.score)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.score, self.whole, self.letters = (np.concatenate([x, np.zeros_like(x)]) for x in (self.score, self.whole, self.letters))
         self.score[self.n : self.n + len(new)] = np.maximum(total, -60)
+        self.whole[self.n : self.n + len(new)] = whole
         self.letters[self.n : self.n + len(new)] = np.bincount(word, weights=size, minlength=len(new))
         self.ids.update(zip(new, range(self.n, self.n + len(new)), strict=True))
         self.n += len(new)
@@ -203,11 +212,11 @@ def viterbi(score: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty:
     return path
 
 
-def label(texts: list[str | None], words: Words, penalty: float) -> list[tuple[str, float, list[dict]]]:
-    """Language, score and spans of each text. The score is the share of letters in that language, halved as far as another one fits the whole text as well."""
+def label(texts: list[str | None], words: Words, penalty: float) -> list[tuple[str, float, list[dict], float | None]]:
+    """Language, score, spans and fit of each text. The fit is the log-likelihood of an n-gram in that language, the mean over all letters; null without a letter. The score is the share of letters in that language, halved as far as another one fits the whole text as well."""
     langs = words.model.langs
     if not langs:
-        return [("und", 0.0, [])] * len(texts)
+        return [("und", 0.0, [], None)] * len(texts)
     found = [t.lower().split() if t else [] for t in texts]
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.cumsum(lengths) - lengths
@@ -220,7 +229,7 @@ def label(texts: list[str | None], words: Words, penalty: float) -> list[tuple[s
         own, w = path[a : a + n], letters[a : a + n]
         total = int(w.sum())
         if not total:
-            out.append(("und", 0.0, []))
+            out.append(("und", 0.0, [], None))
             continue
         share = np.bincount(own, weights=w, minlength=len(langs))
         best = int(share.argmax())
@@ -235,12 +244,13 @@ def label(texts: list[str | None], words: Words, penalty: float) -> list[tuple[s
             at = at if len(at) == n else None  # lower case can't change the white space, but keep to whole text if it did
             edges = [0, *(at[c] for c in cuts[1:-1]), len(text)] if at else None
             spans = [{"start": edges[i], "stop": edges[i + 1], "lang": langs[own[cuts[i]]]} for i in range(len(cuts) - 1)] if at else [{"start": 0, "stop": len(text), "lang": langs[best]}]
-        out.append((langs[best], float(share[best] / total * (1 + clear) / 2), spans))
+        fit = float(words.whole[ids[a : a + n], best].sum(dtype=np.float64) / total)
+        out.append((langs[best], float(share[best] / total * (1 + clear) / 2), spans, fit))
     return out
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
-    """docs with ``lang_pred``, ``score`` (0 to 1) and ``spans`` (code points from ``start`` to before ``stop``).
+    """docs with ``lang_pred``, ``score`` (0 to 1), ``spans`` (code points from ``start`` to before ``stop``) and ``fit`` (the mean log-likelihood of an n-gram).
 
     The model has a fixed size (table buckets x languages) whatever the data, so it may travel with the tasks.
     """
@@ -254,10 +264,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
         words = Words(Model(*sent.value))
         for batch in slices(batches, names[text], 4 << 20):
             got = label(batch.column(text).to_pylist(), words, penalty)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], span_type)], names=[*names, *RESULT])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], span_type), pa.array([g[3] for g in got], pa.float64())], names=[*names, *RESULT])
 
     schema = ", ".join(f"{q} {t}" for q, (_, t) in zip(quoted(base), base.dtypes, strict=True))
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double, spans {SPANS}")
+    return base.mapInArrow(run, f"{schema}, lang_pred string, score double, spans {SPANS}, fit double")
 
 
 def predictions(docs: DataFrame) -> DataFrame:
@@ -267,7 +277,14 @@ def predictions(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-def accept(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """Documents in a known language: those without a letter and those of which no language holds a fair part (a score under ``least``) go."""
-    found = identify(docs, fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(quoted(without(docs, *RESULT)))
+def accept(docs: DataFrame, least: float = 0.2, sample_rows: int = 8000, slack: float = 2.0) -> DataFrame:
+    """Documents in a known language. Those without a letter go, those of which no language holds a fair part (a score under ``least``), and those that fit
+    their language by more than ``slack`` (a log-likelihood) worse than any labelled row of it does: foreign scripts and languages, random letters, encoded data."""
+    model = fit(docs, sample_rows)
+    rows = labelled_rows(docs, sample_rows)
+    bars = {r["lang_pred"]: r["bar"] for r in identify(rows, model).where("fit is not null and lang_pred = lang").groupBy("lang_pred").agg(F.min("fit").alias("bar")).collect()}  # a row a language
+    bar = F.lit(float("inf"))
+    for lang, worst in bars.items():
+        bar = F.when(F.col("lang_pred") == lang, F.lit(worst - slack)).otherwise(bar)
+    found = identify(docs, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("fit") >= bar)).select(quoted(without(docs, *RESULT)))
