@@ -11,11 +11,11 @@ pages cut off within a slot count for its text only if they have it whole. Nodes
 in all of them or in a ``share`` of the counted ones, on a host whose other slots vary, are template; so is what stands in navigation,
 header, footer, aside, form, script and similar elements, or in elements whose whole class or role says so; parts of names and ids
 say so for elements that are mostly links, and outside of article and main, but ids of headings and sections don't. Of the varying
-slots the article element (or main) holds the content where there is one; else those that aren't mostly links.
+slots the article element (or main) holds the content where there is one with a fair part of the text; else those that aren't mostly links.
 
 Defined results: null or empty html gives empty text; a page cut off anywhere is read as far as it goes; a page without a url or
 host belongs to the host ""; repeated rows give equal results; hosts whose pages are all the same lose nothing to the
-template; white space in a block becomes one space, blocks are joined by one line feed; an empty table gives no rows.
+template; elements nested more than ``DEPTH`` levels deep count as part of the one at that level; white space in a block becomes one space, blocks are joined by one line feed; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ BY_LINKS, OUTSIDE, ALWAYS = 1, 2, 3
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
+DEPTH = 200  # levels of elements; what is nested deeper belongs to the element at that level
 
 
 class Node:
@@ -99,6 +100,13 @@ def parse(html: str) -> Node:
         inline = [x for x in inline if x[1] <= len(stack)]
         links = sum(x[0] == "a" for x in inline)
 
+    def push(n: Node):
+        if len(stack) <= DEPTH:
+            stack[-1].runs.append(n)
+        else:
+            n.runs = stack[-1].runs
+        stack.append(n)
+
     at = 0
     for_end = len(html)
     while at < for_end:
@@ -150,16 +158,13 @@ def parse(html: str) -> Node:
                         break
             flush()
             if tag != "hr":
-                n = node_of(tag, m[3])
-                stack[-1].runs.append(n)
-                stack.append(n)
+                push(node_of(tag, m[3]))
         elif not m[3].endswith("/"):
             n = node_of(tag, m[3]) if tag in ASIDE or "=" in m[3] else None
             own = None
             if n is not None and n.aside == ALWAYS:  # an inline element with a purpose of its own stands apart
                 flush()
-                stack[-1].runs.append(n)
-                stack.append(n)
+                push(n)
                 own = n
             inline.append((tag, len(stack), own))
             links += tag == "a"
@@ -323,8 +328,10 @@ def content(html: str | None, template: list | None, support: int, texts: frozen
                 blocks.append((t, r[1], region))
 
     walk(root, "")
-    regions = {b[2] for b in blocks}
-    want = next((x for x in ("article", "main") if x in regions), None)
+    # the region that holds a fair part of what is around it: an article that is a teaser only doesn't
+    size = {x: sum(len(t) for t, linked, region in blocks if region == x and (x or linked * 2 <= len(t))) for x in {b[2] for b in blocks}}
+    article, inside, whole = size.get("article", 0), sum(n for x, n in size.items() if x), sum(size.values())
+    want = "article" if article and article * 2 >= inside and article * 3 >= whole else "main" if inside and inside * 3 >= whole else None
     if want:
         return "\n".join(t for t, _, region in blocks if region == want or want == "main" and region)
     return "\n".join(t for t, linked, _ in blocks if linked * 2 <= len(t))
@@ -334,13 +341,19 @@ def host(url: str = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, most_hosts: int = 2000, most_slots: int = 4000) -> DataFrame:
-    """host, pages (their number) and template of every host. A task keeps at most ``most_hosts`` trees, and writes them out when there are more."""
+SEEN = "host string, salt bigint, template string, path bigint, text string, open boolean, copy bigint"
+
+
+def seen(pages: DataFrame, most_hosts: int = 2000, most_slots: int = 4000) -> DataFrame:
+    """One pass over all pages, as a written table: trees (host, salt, template) of each task's pages, and each page's slots with text (host, path, text, open, copy).
+
+    A task keeps at most ``most_hosts`` trees, and writes them out when there are more."""
     rows = pages.select(host().alias("host"), "html").where("html is not null")
-    names = ["host", "salt", "template"]
+    names = ["host", "salt", "template", "path", "text", "open", "copy"]
 
     def batch_of(trees: dict[str, list], salt: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(trees), pa.string()), pa.array([salt] * len(trees), pa.int64()), pa.array([json.dumps(t) for t in trees.values()], pa.string())], names=names)
+        n = len(trees)
+        return pa.RecordBatch.from_arrays([pa.array(list(trees), pa.string()), pa.array([salt] * n, pa.int64()), pa.array([json.dumps(t) for t in trees.values()], pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64())], names=names)
 
     def grow(batches):
         from pyspark import TaskContext
@@ -348,13 +361,32 @@ def templates(pages: DataFrame, most_hosts: int = 2000, most_slots: int = 4000)
         trees: dict[str, list] = {}
         salt = TaskContext.get().partitionId()
         for batch in slices(batches, "html"):
+            hosts, copy, found = [], [], []
             for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                trees[h] = fold(trees.get(h), slots(parse(page)), most_slots)
+                root = parse(page)
+                tree = slots(root)
+                got = places(root)
+                hosts += [h] * len(got)
+                copy += [xxhash.xxh3_64_intdigest(page.encode("utf-8", "replace")) >> 1] * len(got)
+                found += got
+                trees[h] = fold(trees.get(h), tree, most_slots)
+            n = len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.bool_()), pa.array(copy, pa.int64())],
+                names=names,
+            )
             if len(trees) > most_hosts:
                 yield batch_of(trees, salt)
                 trees = {}
         yield batch_of(trees, salt)
 
+    return written(rows.mapInArrow(grow, SEEN), "seen_pages")
+
+
+def templates(found: DataFrame, most_slots: int = 4000) -> DataFrame:
+    """host, pages (their number) and template of every host, from the trees of seen()."""
+    names = ["host", "salt", "template"]
+
     def join(table: pa.Table) -> pa.Table:
         out = None
         for t in sorted(table.column("template").to_pylist()):
@@ -362,35 +394,18 @@ def templates(pages: DataFrame, most_hosts: int = 2000, most_slots: int = 4000)
         return pa.table([table.column("host")[:1], pa.array([0], pa.int64()), pa.array([json.dumps(out)])], names=names)
 
     schema = "host string, salt bigint, template string"
-    grown = written(rows.mapInArrow(grow, schema), "trees")
+    grown = found.where("template is not null").select(*names)
     tasks = (grown.agg(F.max("salt")).first()[0] or 0) + 1
     some = grown.withColumn("salt", F.pmod("salt", F.lit(max(1, int(tasks**0.5))))).groupBy("host", "salt").applyInArrow(join, schema)
     return some.groupBy("host").applyInArrow(join, schema).select("host", F.get_json_object("template", "$[1]").cast("bigint").alias("pages"), "template")
 
 
-def template_texts(pages: DataFrame, support: int = 3, share: float = 0.8) -> DataFrame:
-    """host and texts (path:digest, parted by spaces): those that at least ``support`` different pages and a ``share`` of the pages with the slot have.
+def template_texts(found: DataFrame, support: int = 3, share: float = 0.8) -> DataFrame:
+    """host and texts (path:digest, parted by spaces), from the slots of seen(): those that at least ``support`` different pages and a ``share`` of the pages with the slot have.
 
     Pages cut off within the slot count for the text if they have it, else not at all. Hosts without a slot of two texts have no row.
     """
-    rows = pages.select(host().alias("host"), "html").where("html is not null")
-
-    def run(batches):
-        for batch in slices(batches, "html"):
-            hosts, copy, found = [], [], []
-            for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                root = parse(page)
-                slots(root)
-                got = places(root)
-                hosts += [h] * len(got)
-                copy += [xxhash.xxh3_64_intdigest(page.encode("utf-8", "replace")) >> 1] * len(got)
-                found += got
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.bool_()), pa.array(copy, pa.int64())],
-                names=["host", "path", "text", "open", "copy"],
-            )
-
-    each = rows.mapInArrow(run, "host string, path bigint, text string, open boolean, copy bigint")
+    each = found.where("path is not null")
     each = each.groupBy("host", "path", "text", "copy").agg(F.max("open").alias("open"))
     said = each.groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.sum((~F.col("open")).cast("bigint")).alias("whole"))
     slot = said.groupBy("host", "path").agg(
@@ -404,7 +419,8 @@ def template_texts(pages: DataFrame, support: int = 3, share: float = 0.8) -> Da
 
 def main_text(pages: DataFrame, support: int = 3, share: float = 0.8) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    induced = written(templates(pages).join(template_texts(pages, support, share), "host", "left"), "templates")
+    found = seen(pages)
+    induced = written(templates(found).join(template_texts(found, support, share), "host", "left"), "templates")
     rows = pages.select("page_id", "url", "html", host().alias("host"))
     rows = skew_safe_join(rows, induced, "host", "pages", F.concat(F.lit("~"), F.xxhash64("url", "page_id").cast("string"))).select("page_id", "url", "html", "template", "texts")
 
