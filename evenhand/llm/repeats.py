@@ -88,7 +88,7 @@ def units(docs: DataFrame, min_words: int, passage_words: int) -> DataFrame:
     """id, h1, h2 (the digest), place, again; of units and of passages."""
 
     def run(batches):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             n, found = [], []
             for t in batch.column("text").to_pylist():
                 got = cut(t, min_words, passage_words) if t else []

@@ -333,3 +333,37 @@ def test_written_tables_are_released(spark, sf):
     assert os.path.exists(path.removeprefix("file:"))
     common.release(spark)
     assert not os.path.exists(path.removeprefix("file:")) and not common.WRITTEN
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [5e7, 1.0]), (1, [5e7, -1.0]), (2, [1.0, 1.0]), (20, [-5e7, 0.0]), (3, [1e15, 1e15]), (40, [1e15, -3.0])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = {i: [math.floor(64 * x) for x in e] for i, e in rows}
+    for q in (0, 20, 40):
+        best = sorted(((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q))
+        assert sorted(got[q]) == [(n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
+
+
+def test_mixing_sources_that_share_ids(spark):
+    """A document that fits one source's tail is not taken in another one that has the same ids."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(1, 30))), s) for s in ("a", "b", "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sums = {}
+    for r in mixing.taken(df).collect():
+        t = sums.setdefault(round(r["target"], 6), [0, r["target"]])
+        t[0] += r["taken"]
+    assert len(sums) == 3
+    for got, want in sums.values():
+        assert abs(got - want) <= 30
+
+
+def test_deep_nesting_and_teaser_articles():
+    deep = "<div>" * 5_000 + "<p>Deep text stays.</p>" + "</div>" * 5_000 + "<p>After.</p>"
+    assert wrapper.content(deep, None, 3) == "Deep text stays.\nAfter."
+    long = "A long paragraph of the page itself. " * 20
+    assert wrapper.content(f"<main><h1>Title</h1><p>{long}</p><article class='teaser'>See also this.</article></main>", None, 3).startswith("Title\nA long")
+    assert "A long" in wrapper.content(f"<div><p>{long}</p></div><article>Teaser.</article>", None, 3)
+    assert wrapper.content(f"<div>Some side text.</div><article><p>{long}</p></article>", None, 3) == long.strip()

@@ -230,3 +230,15 @@ def test_media_columns(odd):
     assert media.stored_and_read(odd.limit(0)).count() == 0
 
 
+
+
+def test_foreign_and_random_texts_are_not_accepted(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = ["Привет как дела сегодня мы идем гулять в парк", "今天天气很好我们去公园玩", "Η γλώσσα είναι καλή σήμερα", "xqzt wvkj prrt zzgh qwxk vbnq zzkw", "dGhpcyBpcyBhIHRlc3Q gAbCdEfG hIjKlMn", "½ ² Ⅷ", "", None]
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "web", 0) for i, t in enumerate(odd)], docs.schema)
+    kept = {r["doc_id"] for r in langid.accept(docs.unionByName(more)).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10_000_000}
+    clean = {r["doc_id"] for r in docs.select("doc_id", "text").collect() if r["text"] and langid.LETTERS.search(r["text"])}
+    assert len(clean - kept) <= 0.01 * len(clean)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predictions(docs.unionByName(more)).where("doc_id >= 10000000").collect()}
+    assert [got[10_000_000 + i] for i in (5, 6, 7)] == ["und"] * 3 and "und" not in [got[10_000_000 + i] for i in range(5)]
