@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
-import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,17 +55,8 @@ def quoted(df: DataFrame) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
 
-def trim() -> None:
-    """Give memory that is free within this Python worker back to the system: workers are used again, idle ones would keep their peak."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about ``most`` bytes of the column (one row at least): memory stays bounded."""
-    trim()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,9 +64,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         step = max(1, most // size)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-    after = threading.Timer(0.5, trim)  # when the task's own stores are gone too
-    after.daemon = True
-    after.start()
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, column: str) -> DataFrame:
