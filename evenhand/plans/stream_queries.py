@@ -91,6 +91,18 @@ def l02_in_time(spark, sf):
     return t.groupBy("outcome", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wait").cast("bigint")).alias("waits"))
 
 
+@query("l03_address_block", """with recursive e as (select user_id, epoch_us(ts) tm, row_number() over (partition by user_id order by ts, event_id) n from events where event_type='error' and user_id is not null and ts is not null),
+ r as (select user_id, cast(0 as bigint) n, cast([] as bigint[]) recent, cast(-1 as bigint) until, cast(null as varchar) outcome, cast(0 as bigint) k from (select distinct user_id from e)
+  union all select user_id, n, case when tm<until then recent when len(now)>=2 then cast([] as bigint[]) else now end, case when tm>=until and len(now)>=2 then tm+86400000000 else until end,
+   case when tm<until then 'refused' when len(now)>=2 then 'blocked' else 'counted' end, case when tm<until then 0 else len(now) end
+  from (select e.user_id, e.n, e.tm, r.recent, r.until, list_append(list_filter(r.recent, lambda t: e.tm-t<86400000000), e.tm) now from r join e on e.user_id=r.user_id and e.n=r.n+1))
+ select user_id, outcome, count(*) n, cast(sum(k) as bigint) recent from r where n>0 group by all""")
+def l03_block(spark, sf):
+    """Two failures within a day block an address for a day."""
+    t = J.address_block(events(spark, sf), "user_id", "event_id", "ts", F.col("event_type") == "error", span=86_400, limit=2)
+    return t.groupBy("user_id", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("recent").cast("bigint")).alias("recent"))
+
+
 @query("l03_sliding_block", """select user_id, count(*) n, max(r) most, count(*) filter (r>=2) blocked from (select user_id, count(*) over (partition by user_id order by s range between 899 preceding and current row) r from (select user_id, floor(epoch(ts)) s from events where event_type='error')) group by 1""")
 def l03(spark, sf):
     sec = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")

@@ -162,6 +162,65 @@ def sliding_failures(events: DataFrame, key: str, seconds: str, failed: Column,
     return r.withColumn("blocked", F.col("recent") >= limit).drop("__home", "__slice")
 
 
+class Address:
+    """Recent failures of one address (fewer than ``limit`` times) and the end of its block, in microseconds. A block lasts ``span`` seconds whatever
+    comes in it; what does is refused and not counted, and the count begins anew with the block."""
+
+    def __init__(self, recent: list[int] | None = None, until: int = -1):
+        self.recent, self.until = recent or [], until
+
+    def fail(self, at: int, span: int, limit: int) -> tuple[str, int]:
+        """Outcome and number of recent failures, this one included."""
+        if at < self.until:
+            return "refused", 0
+        self.recent = [t for t in self.recent if at - t < span * 1_000_000] + [at]
+        n = len(self.recent)
+        if n < limit:
+            return "counted", n
+        self.recent, self.until = [], at + span * 1_000_000
+        return "blocked", n
+
+
+def address_block(events: DataFrame, key: str, order: str, ts: str, failed: Column, span: int = 900, limit: int = 50) -> DataFrame:
+    """(key, order, outcome, recent) of every failure: an address with ``limit`` failures within ``span`` seconds is blocked for ``span`` seconds. Failures pass in order of time through a state of bounded size."""
+
+    def run(batches):
+        own, state = None, Address()
+        for b in batches:
+            out = []
+            for k, at in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), strict=True):
+                if k != own:
+                    own, state = k, Address()
+                out.append(state.fail(at, span, limit))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("seq"), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int32())], names=["key", "seq", "outcome", "recent"])
+
+    e = _attempts(events, key, order, ts, failed, F.lit(False)).where("key is not null and at is not null")
+    got = e.repartition("key").sortWithinPartitions("key", "at", "seq").mapInArrow(run, "key bigint, seq bigint, outcome string, recent int")
+    return got.withColumnsRenamed({"key": key, "seq": order})
+
+
+def address_block_stream(events: DataFrame, key: str, order: str, ts: str, failed: Column, span: int = 900, limit: int = 50, late: str = "1 hour") -> DataFrame:
+    """The streaming form. An address's state ends with its block, or ``span`` seconds after its last failure, once the watermark has passed that."""
+    e = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
+    e = e.where(failed).select("__ts", F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("seq"), F.unix_micros("__ts").alias("at")).where("key is not null")
+
+    def step(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent, until = state.get if state.exists else ("", -1)
+        own = Address([int(t) for t in recent.split()], until)
+        rows = sorted(r for f in frames for r in zip(f["at"].tolist(), f["seq"].tolist(), strict=True))
+        out = [(k[0], seq, *own.fail(at, span, limit)) for at, seq in rows]
+        state.update((" ".join(map(str, own.recent)), own.until))
+        end = max([own.until, *(t + span * 1_000_000 for t in own.recent[-1:])])
+        state.setTimeoutTimestamp(max(end // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "seq", "outcome", "recent"])
+
+    got = e.groupBy("key").applyInPandasWithState(step, "key bigint, seq bigint, outcome string, recent int", "recent string, until bigint", "append", "EventTimeTimeout")
+    return got.withColumnsRenamed({"key": key, "seq": order})
+
+
 # Audit and scoring
 
 

@@ -37,6 +37,24 @@ def test_throttle_waits_locks_and_expiry():
     assert t.attempt(907 * s, False)[0] == "refused" and t.attempt(908 * s, True) == ("failed", 1, 0) and t.attempt(909 * s, False) == ("ok", 0, 0)
 
 
+def test_address_block_stream_equals_batch(spark, sf):
+    args = ("user_id", "event_id", "ts", F.col("event_type") == "error", 86_400, 2)
+    batch = J.address_block(T.table(spark, sf, "events"), *args)
+    stream = spark.readStream.schema(T.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    root = shared_dir(spark, f"block_{uuid.uuid4().hex[:8]}")
+    J.run_to_table(J.address_block_stream(stream, *args), f"{root}/out", f"{root}/state")
+    got = spark.read.parquet(f"{root}/out")
+    assert D.table_diff(batch, got, ["user_id", "event_id"]).count() == 0 and got.count() == batch.count() > 0
+    assert {r["outcome"] for r in got.select("outcome").distinct().collect()} >= {"counted", "blocked"}
+
+
+def test_address_is_blocked_for_its_time_and_counts_anew():
+    a, s = J.Address(), 1_000_000
+    assert [a.fail(i * s, 900, 3) for i in (0, 1, 2)] == [("counted", 1), ("counted", 2), ("blocked", 3)]
+    assert a.fail(901 * s, 900, 3) == ("refused", 0) and a.fail(902 * s, 900, 3) == ("counted", 1)
+    assert a.fail(1802 * s, 900, 3) == ("counted", 1) and len(a.recent) == 1
+
+
 def test_audit_stream_equals_batch(spark, sf):
     def audit(e):
         return J.audit_lines(e, "event_id", "ts", ["user_id"], F.lit("estimate"), F.array().cast("array<string>"), "0.1")
