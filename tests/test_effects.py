@@ -18,7 +18,7 @@ def test_planted_truth(spark, sf):
     naive = E.naive(st).where("target = 'A-B'").first()
     dr = E.aipw(st, nu).where("target = 'A-B'").first()
     assert not naive["ci_low"] <= truth <= naive["ci_high"]
-    assert abs(dr["value"] - truth) < 3 * dr["se"]
+    assert abs(dr["value"] - truth) < 2 * dr["se"]
 
 
 def test_sums_equal_unit_level_scores(spark, sf):
