@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import quoted, slices, without
 
 SPANS = "array<struct<start:int,stop:int,lang:string>>"
-RESULT = ["lang_pred", "score", "spans", "fit"]
+RESULT = ["lang_pred", "score", "spans"]
 BUCKETS = 1 << 16  # the top 16 bits of a hash
 # Unicode ranges of scripts (fixed values).
 SCRIPTS = [
@@ -249,12 +249,13 @@ def label(texts: list[str | None], words: Words, penalty: float) -> list[tuple[s
     return out
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
-    """docs with ``lang_pred``, ``score`` (0 to 1), ``spans`` (code points from ``start`` to before ``stop``) and ``fit`` (the mean log-likelihood of an n-gram).
+def identify(docs: DataFrame, model: Model, penalty: float = 12.0, with_fit: bool = False) -> DataFrame:
+    """docs with ``lang_pred``, ``score`` (0 to 1), ``spans`` (code points from ``start`` to before ``stop``) and, if asked for, ``fit`` (the mean log-likelihood of an n-gram).
 
     The model has a fixed size (table buckets x languages) whatever the data, so it may travel with the tasks.
     """
-    base = without(docs, *RESULT)
+    result = [*RESULT, "fit"] if with_fit else RESULT
+    base = without(docs, *result)
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.scripts))
     names = base.columns
     text = next(i for i, c in enumerate(names) if c.lower() == "text")
@@ -264,10 +265,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
         words = Words(Model(*sent.value))
         for batch in slices(batches, names[text], 4 << 20):
             got = label(batch.column(text).to_pylist(), words, penalty)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], span_type), pa.array([g[3] for g in got], pa.float64())], names=[*names, *RESULT])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], span_type), *([pa.array([g[3] for g in got], pa.float64())] if with_fit else [])], names=[*names, *result])
 
     schema = ", ".join(f"{q} {t}" for q, (_, t) in zip(quoted(base), base.dtypes, strict=True))
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double, spans {SPANS}, fit double")
+    return base.mapInArrow(run, f"{schema}, lang_pred string, score double, spans {SPANS}{', fit double' if with_fit else ''}")
 
 
 def predictions(docs: DataFrame) -> DataFrame:
@@ -282,9 +283,9 @@ def accept(docs: DataFrame, least: float = 0.2, sample_rows: int = 8000, slack:
     their language by more than ``slack`` (a log-likelihood) worse than any labelled row of it does: foreign scripts and languages, random letters, encoded data."""
     model = fit(docs, sample_rows)
     rows = labelled_rows(docs, sample_rows)
-    bars = {r["lang_pred"]: r["bar"] for r in identify(rows, model).where("fit is not null and lang_pred = lang").groupBy("lang_pred").agg(F.min("fit").alias("bar")).collect()}  # a row a language
+    bars = {r["lang_pred"]: r["bar"] for r in identify(rows, model, with_fit=True).where("fit is not null and lang_pred = lang").groupBy("lang_pred").agg(F.min("fit").alias("bar")).collect()}  # a row a language
     bar = F.lit(float("inf"))
     for lang, worst in bars.items():
         bar = F.when(F.col("lang_pred") == lang, F.lit(worst - slack)).otherwise(bar)
-    found = identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("fit") >= bar)).select(quoted(without(docs, *RESULT)))
+    found = identify(docs, model, with_fit=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("fit") >= bar)).select(quoted(without(docs, *RESULT, "fit")))
