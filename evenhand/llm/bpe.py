@@ -82,7 +82,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
 class Transducer:
     """The encoder of one vocabulary file."""
 
-    def __init__(self, spec: dict, kept: int = 350_000):
+    def __init__(self, spec: dict, kept: int = 200_000):
         model = spec["model"]
         self.vocab: dict[str, int] = dict(model["vocab"])
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
@@ -263,7 +263,7 @@ class Transducer:
             del self.words[w]
         return out
 
-    def encode_all(self, texts: list[str | None], block: int = 1 << 20) -> list[bytes]:
+    def encode_all(self, texts: list[str | None], block: int = 1 << 18) -> list[bytes]:
         """The packed ids of each text. White space ends every piece, and no step of the normaliser crosses it; about ``block`` characters at a time are worked on."""
         out: list[list[bytes]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
@@ -386,7 +386,7 @@ def digests(docs: DataFrame, path: str, chunk: int = 1 << 16) -> DataFrame:
     def run(batches):
         coder = Transducer(sent.value)
         back = Decoder(coder)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             n, a, b = [], [], []
             for packed in coder.encode_all(batch.column("text").to_pylist()):
                 ids, of_ids, of_text = coder.ids(packed), hashlib.sha256(), hashlib.sha256()

@@ -66,6 +66,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(at, step)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of about ``most`` bytes from here on: a task, its buffers in the JVM and its Python worker hold a few batches each."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, column: str) -> DataFrame:
     """fn over bounded pieces of the rows, as Arrow batches."""
     return df.mapInArrow(lambda batches: map(fn, slices(batches, column)), schema)
