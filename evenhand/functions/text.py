@@ -9,9 +9,34 @@ from pyspark.sql import functions as F
 STOP_WORDS = ("a an and are as at be been but by can do does for from had has have he her his how i if in into is it its may more most no not of on or our she should "
               "so such than that the their them then there these they this those to was we were what when which who will with would you your").split()
 
-# Fixed value: an amount with a unit, a frequency or a rate.
-DOSE = r"(?i)(?<![0-9A-Za-z_])\d+(\.\d+)?\s*(mg|mcg|µg)(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(once|twice)\s+daily(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])mg\s*/\s*day(?![0-9A-Za-z_])"
-WITHHELD = "[Passage withheld: it contains dosing text.]"
+# The edges of a word of ASCII letters, digits and underscores, whatever an engine takes for a word.
+BEFORE, AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+
+
+def whole(*forms: str) -> str:
+    """A pattern for any of these forms as whole words."""
+    return BEFORE + "(?:" + "|".join(forms) + ")" + AFTER
+
+
+def for_sql(pattern: str) -> str:
+    """The same pattern for engines without look-around, where a word's edge is of ASCII."""
+    return pattern.replace(BEFORE, r"\b").replace(AFTER, r"\b").replace("'", "''")
+
+
+#: Parameters of the amounts left out of indexed text: units, how often, and periods.
+UNITS = ("mg", "milligram(?:me)?s?", "mcg", "µg", "microgram(?:me)?s?", "ml", "iu")
+OFTEN = ("once", "twice", "thrice", "[0-9]+ times")
+PERIODS = {"hour": "hourly", "day": "daily", "week": "weekly"}
+
+
+def amounts(units=UNITS, often=OFTEN, periods=PERIODS) -> str:
+    """A pattern for a number with a unit, for how often in a period, and for a unit in a period."""
+    unit, times, period, adverb = ("(?:" + "|".join(x) + ")" for x in (units, often, periods, periods.values()))
+    return "(?i)" + whole(rf"[0-9]+(?:[.,][0-9]+)?\s*{unit}", rf"{times}\s+(?:{adverb}|(?:a|each|per)\s+{period})", rf"{unit}\s*(?:/|per)\s*{period}")
+
+
+DOSE = amounts()
+WITHHELD = "[Left out: this passage states an amount.]"
 
 TOKEN = r"[a-z0-9]+(?:-[a-z0-9]+)*"
 WORD = r"[\p{L}\p{N}_]{2,}"

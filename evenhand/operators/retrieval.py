@@ -271,17 +271,18 @@ def expand(queries: DataFrame, synonyms: list[tuple[str, list[str]]], max_words:
         "expanded", F.when(F.size("added") > 0, F.concat_ws(" ", F.lower("text"), F.array_join("added", " "))).otherwise(F.lower("text"))).drop("__w", "__h", "__t", "__s", "__pairs")
 
 
-POINTS_BACK = r"\b(it|its|they|them|their|this|that|these|those|he|she|him|her|his|such|same)\b"
+#: Words that point back to what was said before, a parameter of sub_queries().
+POINTS_BACK = ("he", "him", "his", "she", "her", "hers", "it", "its", "they", "them", "their", "theirs", "this", "that", "these", "those", "same", "such", "former", "latter")
 
 
-def sub_queries(queries: DataFrame, column: str = "text", most: int = 3, least: int = 3) -> DataFrame:
+def sub_queries(queries: DataFrame, column: str = "text", most: int = 3, least: int = 3, points_back=POINTS_BACK) -> DataFrame:
     """Adds sub_queries: parts at sentence ends and at and / also / as well as, if both sides can stand alone; nothing is dropped."""
-    sents = X.sentences(F.lower(F.col(column)), ".!?;")
+    sents, back_words = X.sentences(F.lower(F.col(column)), ".!?;"), X.whole(*points_back)
     n_words = lambda s: F.size(F.split(F.trim(s), r"\s+"))
 
     def join_pieces(acc, p):
         last = F.element_at(acc, -1)
-        alone = (n_words(last) >= least) & (n_words(p) >= least) & ~p.rlike(POINTS_BACK)
+        alone = (n_words(last) >= least) & (n_words(p) >= least) & ~p.rlike(back_words)
         merged = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" and "), p)))
         return F.when(F.size(acc) == 0, F.array(p)).when(alone, F.concat(acc, F.array(p))).otherwise(merged)
 
@@ -289,7 +290,7 @@ def sub_queries(queries: DataFrame, column: str = "text", most: int = 3, least:
     pieces = F.transform(sents, lambda s: F.aggregate(F.transform(F.split(s, r"\s+(?:and|also|as well as)\s+"), F.trim), none, join_pieces))
 
     def join_sentences(acc, m):
-        back = (F.size(acc) > 0) & F.element_at(m, 1).rlike(POINTS_BACK)
+        back = (F.size(acc) > 0) & F.element_at(m, 1).rlike(back_words)
         glued = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), F.element_at(m, 1))), F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))))
         return F.when(back, glued).otherwise(F.concat(acc, m))
 

@@ -73,10 +73,8 @@ def g02_ids(spark, sf):
 
 
 def _refs_sql(c):
-    return f"""(length({c})>=80 and (case when (length({c})-length(regexp_replace({c},'[0-9]','','g')))*1.0/length({c})>0.12 then 1 else 0 end)
-  + (case when regexp_matches({c},'et al\\.|\\b\\d{{4}};\\d+\\(\\d+\\):|doi:|PMID|N Engl J Med|Lancet\\.') then 1 else 0 end)
-  + (case when (length({c})-length(replace({c},';','')))/greatest(length({c})/100.0,1.0)>1.0 then 1 else 0 end)
-  + (case when len(regexp_extract_all({c},'\\b\\d{{1,3}}\\.\\s+[A-Z]'))>=2 then 2 else 0 end) + (case when len(regexp_extract_all({c},'\\b[A-Z][a-z]+ [A-Z]{{1,2}},'))>=2 then 2 else 0 end) >= 2)"""
+    marks = [(f"len(regexp_extract_all({c},'{X.for_sql(pattern)}'))", least, per, worth) for _, pattern, least, per, worth in K.REFERENCE_MARKS]
+    return f"(length({c})>=80 and " + " + ".join(f"(case when {n}>={least} and {n}*100>{per}*length({c}) then {worth} else 0 end)" for n, least, per, worth in marks) + " >= 2)"
 
 
 @query("g03_character_chunks", r"""with fl as (select doc_id, trim(regexp_replace(text,'\s+',' ','g')) t from documents),
@@ -110,10 +108,9 @@ def g05(spark, sf):
 
 
 def _clean_sql(c):
-    c = f"regexp_replace({c}, '([0-9A-Za-z_])-\\s*\\n\\s*([0-9A-Za-z_])', '\\1\\2', 'g')"
-    c = f"regexp_replace({c}, '\\n([A-Za-z])\\n([a-z])', chr(10)||'\\1\\2', 'g')"
-    c = f"regexp_replace(regexp_replace(regexp_replace({c}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10)||chr(10), 'g')"
-    return f"trim({c}, ' '||chr(10)||chr(9))"
+    for _, pattern, by in K.REPAIRS:
+        c = f"regexp_replace({c}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return f"trim({c}, ' '||chr(10))"
 
 
 @query("g06_clean_text", f"with q as (select doc_id, {_clean_sql('replace(text, chr(46)||chr(10), chr(45)||chr(10))')} c from documents) select doc_id, length(c) n_chars, md5(c) fingerprint from q")
@@ -139,7 +136,7 @@ def g07(spark, sf):
 
 
 DOSED = "replace(replace(text, ' of ', ' 5 mg '), ' le ', ' twice daily ')"
-_DOSE_SQL = r"(?i)\b\d+(\.\d+)?\s*(mg|mcg|µg)\b|\b(once|twice)\s+daily\b|\bmg\s*/\s*day\b"
+_DOSE_SQL = X.for_sql(X.DOSE)
 
 
 def dosed(spark, sf):

@@ -306,7 +306,7 @@ def bundles(spark, sf):
 BUNDLE = COVER.replace("ps as (select doc_id pos, text, source, string_split(text,chr(10))[1] section, lang from documents)",
                        f"ps as (select doc_id pos, regexp_replace({G.DOSED}, '{G._DOSE_SQL}', ' ', 'g') as text, source, string_split(text,chr(10))[1] section, lang, {G.DOSED} raw from documents)").replace(
     "union select query_id, asked, e from ak join eq using (query_id, asked)", "")
-BUNDLE += "," + A.REG + r""", sb as (select query_id, "rank", pos, case when regexp_matches(raw, '""" + G._DOSE_SQL + r"""') then '[Passage withheld: it contains dosing text.]' else raw end shown,
+BUNDLE += "," + A.REG + r""", sb as (select query_id, "rank", pos, case when regexp_matches(raw, '""" + G._DOSE_SQL + r"""') then '[Left out: this passage states an amount.]' else raw end shown,
   trim(concat_ws(' ', issuer, nullif(regexp_extract(version, '\b((?:19|20)\d{2})\b', 1),''))) label, b, v, rrf from tp join ps using (pos) join reg on source=id join gt8 using (query_id) where status='SUCCESS')"""
 
 

@@ -31,8 +31,11 @@ def texts(spark, sf):
 TX = "tx as (select *, regexp_extract_all(lower(text), '[\\pL\\pN]+') w from (select conv_id, turn, cast(conv_id%8 as int) k, text||[" + ",".join("'" + a + "'" for a in ADDED) + "][conv_id%8+1] text from conversations))"
 
 
+_TITLES = "|".join(S.TITLES)
+
+
 @query("j01_identifiers", "with " + TX + r""" select k, count(*) n, count(*) filter (regexp_matches(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) email, count(*) filter (regexp_matches(text,'\+?[0-9][0-9 ()-]{8,}[0-9]')) phone,
-  count(*) filter (regexp_matches(text,'(^|[^A-Za-z])(?i:mr|mrs|ms|miss|dr|prof|shri|smt|sri|kumari|master)\.? +[A-Z][a-z]+')) title_name from tx group by 1""")
+  count(*) filter (regexp_matches(text,'(^|[^A-Za-z])(?i:""" + _TITLES + r""")\.? +[A-Z][a-z]+')) title_name from tx group by 1""")
 def j01(spark, sf):
     d = S.identifiers(F.col("text"))
     return texts(spark, sf).groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(d[c].cast("bigint")).alias(c) for c in ("email", "phone", "title_name")])
@@ -89,7 +92,7 @@ def j05(spark, sf):
                                     S.general_question(["cause", "causes", "risk"], ["now", "today"]).alias("general")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_INJ = "(array_to_string(w,' ')||' ' like '%ignore previous %' or regexp_matches(text,'<\\|[a-z_ ]{2,20}\\|>|\\[/?INST\\]|<</?SYS>>|(?im:^\\s*(?:system|assistant|developer)\\s*:)') or len(list_filter(regexp_extract_all(text,'[A-Za-z0-9+/=]{40,}'), lambda r: regexp_matches(r,'[a-z]') and regexp_matches(r,'[A-Z]') and regexp_matches(r,'[0-9]')))>0)"
+_INJ = "(array_to_string(w,' ')||' ' like '%ignore previous %' or regexp_matches(text,'" + X.for_sql(S.role_marks()) + "') or len(list_filter(regexp_extract_all(text,'[A-Za-z0-9+/=]{40,}'), lambda r: regexp_matches(r,'[a-z]') and regexp_matches(r,'[A-Z]') and regexp_matches(r,'[0-9]')))>0)"
 
 
 @query("j06_injection", "with " + TX + f" select k, {_INJ} injection, count(*) n from tx group by all")
@@ -106,7 +109,7 @@ def j07(spark, sf):
     return texts(spark, sf).groupBy("k", F.coalesce(r, F.lit("ok")).alias("result")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_AMT = r"regexp_matches(text,'(?i)\bhow many(?: +[0-9A-Za-z_-]+){0,2} +(?:mg|tablets?|pills?|units)\b|\bdos(?:e|es|ing|age)\b')"
+_AMT = "regexp_matches(text,'" + X.for_sql(S.AMOUNT_REQUEST) + "')"
 
 
 @query("j08_amount_request", "with " + TX + f" select k, {_AMT} asks_amount, count(*) n from tx group by all")
@@ -115,7 +118,7 @@ def j08(spark, sf):
 
 
 # mobile, health and check-digit numbers are runs that the telephone pattern covers; the texts hold no health address or tax number
-_ID = r"(regexp_matches(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') or regexp_matches(text,'\+?[0-9][0-9 ()-]{8,}[0-9]') or regexp_matches(text,'(^|[^A-Za-z])(?i:mr|mrs|ms|miss|dr|prof|shri|smt|sri|kumari|master)\.? +[A-Z][a-z]+'))"
+_ID = r"(regexp_matches(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') or regexp_matches(text,'\+?[0-9][0-9 ()-]{8,}[0-9]') or regexp_matches(text,'(^|[^A-Za-z])(?i:" + _TITLES + r")\.? +[A-Z][a-z]+'))"
 
 
 @query("j09_combined", "with " + TX + ", cb as (select k, case when " + _ID + " then 'identifier' when " + _INJ + " then 'injection' when (" + _LANG + ") is not null then 'length_language' when (" + _SCOPE + ") then 'scope' when " + _AMT +

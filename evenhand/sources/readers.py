@@ -60,6 +60,17 @@ def part_numbers(docs: DataFrame) -> DataFrame:
 ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
+#: Markup and what stands for it, in this order: elements left out, headings, items, ends of blocks, all other tags.
+MARKUP = (
+    (r"(?is)<(script|style|table)\b.*?</\1>", " "),
+    (r"(?is)<sup\b.*?</sup>", ""),
+    (r"(?i)<h[1-3](?![0-9a-z])[^>]*>", "\n## "),
+    (r"(?i)<li(?![0-9a-z])[^>]*>", "\n- "),
+    (r"(?i)<(?:br|/(?:div|h[1-6]|li|p))(?![0-9a-z])[^>]*>", "\n"),
+    (r"<[^>]+>", ""),
+)
+
+
 def html_lines(html: Column) -> Column:
     """Page text as lines: scripts, styles, tables and reference marks out, block ends to newlines, items to bullets."""
 
@@ -68,13 +79,8 @@ def html_lines(html: Column) -> Column:
         return text.map(lambda t: None if t is None else html_entities.unescape(t))
 
     t = html
-    for tag in ("script", "style", "table"):
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    t = F.regexp_replace(t, r"(?is)<sup\b.*?</sup>", "")
-    t = F.regexp_replace(t, r"(?is)<h[1-3][^>]*>", "\n## ")
-    t = F.regexp_replace(t, r"(?i)<(br|/p|/li|/h\d|/div)[^>]*>", "\n")
-    t = F.regexp_replace(t, r"(?i)<li[^>]*>", "\n- ")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
+    for pattern, by in MARKUP:
+        t = F.regexp_replace(t, pattern, by)
     other = t.rlike("&(?!(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");)(?:#|[A-Za-z])")  # any other reference: the row goes through one Arrow function
     named = t
     for name, char in ENTITIES:
