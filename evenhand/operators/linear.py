@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evenhand import config as cfg
 from evenhand.functions.stats import fsum
 
+MODEL_ROWS = "k int, target string, pos int, covariate string, beta double, mean double, scale double, cov array<double>, z double"
 CODEGEN_LIMIT = 200  # more sums than this in one aggregate go through Arrow batches instead
 
 
@@ -114,6 +115,31 @@ class LinearEffect:
         rows = [(t, i, j, float(self.cov[k][i, j])) for k, t in enumerate(self.targets) for i in range(p) for j in range(p)]
         return spark.createDataFrame(rows, "target string, i int, j int, v double")
 
+    def publish(self, spark, path: str, version: int) -> None:
+        """Write the model as one more version of the table at path: a row per target and term with its row of the covariance.
+
+        A version is one file in a folder of its own, so readers see it whole or not at all; writing it again replaces it.
+        """
+        rows = [(k, t, j, c, float(self.beta[j, k]), float(self.mean[j - 1]) if j else 0.0, float(self.scale[j - 1]) if j else 1.0, self.cov[k][j].tolist(), self.z)
+                for k, t in enumerate(self.targets) for j, c in enumerate(["1", *self.covariates])]
+        spark.createDataFrame(rows, MODEL_ROWS).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+
+    @staticmethod
+    def published(spark, path: str, version: int | None = None) -> tuple[int, LinearEffect]:
+        """(version, model): the newest version of the table at path, or the one asked for. A model has targets x terms rows, whatever the data."""
+        table = spark.read.schema(MODEL_ROWS + ", version int").parquet(path)
+        wanted = F.lit(version) if version is not None else table.agg(F.max("version")).first()[0]
+        rows = table.where(F.col("version") == wanted).orderBy("k", "pos").collect()
+        if not rows:
+            raise ValueError(f"no version {version} of a model at {path}")
+        first = [r for r in rows if r["k"] == 0]
+        targets = [r["target"] for r in rows if r["pos"] == 0]
+        p = len(first)
+        beta = np.array([r["beta"] for r in rows]).reshape(len(targets), p).T
+        cov = np.array([r["cov"] for r in rows]).reshape(len(targets), p, p)
+        model = LinearEffect([r["covariate"] for r in first[1:]], targets, np.array([r["mean"] for r in first[1:]]), np.array([r["scale"] for r in first[1:]]), beta, cov, first[0]["z"])
+        return rows[0]["version"], model
+
 
 def fit_effect(scored: DataFrame, covariates, pseudo: list[tuple[str, Column]], z: float = cfg.CI_Z) -> LinearEffect:
     """Regress each pseudo-outcome on standardised covariates with leverage-adjusted (HC3) covariance.

@@ -11,6 +11,7 @@ from evenhand.operators import diffs as D
 from evenhand.operators import effects as E
 from evenhand.operators import grading as G
 from evenhand.operators import rules as R
+from evenhand.plans import effect_queries as C
 from evenhand.plans import grading_queries as GQ
 from evenhand.plans import rule_queries as B
 from evenhand.plans import sqlviews as V
@@ -61,10 +62,31 @@ def l01(spark, sf):
     return rnd(J.latency_summary(events(spark, sf), "event_type", "value", F.col("value") > 100, F.try_parse_json("props").isNotNull()))
 
 
-@query("l01_latency_windows", "select strftime(ts, '%Y-%m-%d') as start, count(*) n, max(value) max_value, count(*) filter (event_type='error') fallbacks from events group by 1")
+_WINDOWS = "select strftime({start}, '%Y-%m-%d') as start, count(*) n, max(value) max_value, count(*) filter (event_type='error') fallbacks, round(100.0*count(*) filter (event_type='error')/count(*),6) fallback_pct, true p50_within, true p95_within from events group by 1"
+
+
+def windows_with_ranks(spark, sf, windows, start, error=0.02):
+    """The windows, and whether their quantiles have the rank they should, within ``error`` of the window, counted in the events themselves."""
+    q = J.with_quantiles(windows).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    e = events(spark, sf).select(F.date_format(start, "yyyy-MM-dd").alias("start"), "value").join(q.select("start", "p50", "p95"), "start")
+    up_to = lambda c, strict: F.avg((F.col("value") < F.col(c) if strict else F.col("value") <= F.col(c)).cast("double"))
+    ranks = e.groupBy("start").agg(*[((up_to(c, True) <= p + error) & (up_to(c, False) >= p - error)).alias(f"{c}_within") for c, p in (("p50", 0.5), ("p95", 0.95))])
+    return rnd(q.join(ranks, "start").select("start", "n", "max_value", "fallbacks", "fallback_pct", "p50_within", "p95_within"))
+
+
+def day_windows(spark, sf):
+    return J.latency_windows(events(spark, sf), "ts", "value", F.col("event_type") == "error")
+
+
+@query("l01_latency_windows", _WINDOWS.format(start="ts"))
 def l01_windows(spark, sf):
-    w = J.latency_windows(events(spark, sf), "ts", "value", F.col("event_type") == "error")
-    return w.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n", "max_value", "fallbacks")
+    return windows_with_ranks(spark, sf, day_windows(spark, sf), F.col("ts"))
+
+
+@query("l01_latency_months", _WINDOWS.format(start="date_trunc('month', ts)"))
+def l01_months(spark, sf):
+    """Months merged from the sketches of days."""
+    return windows_with_ranks(spark, sf, J.longer_windows(day_windows(spark, sf), F.date_trunc("month", "start")), F.date_trunc("month", "ts"))
 
 
 _FAIL, _OK = "event_type='error'", "event_type='purchase'"
@@ -78,19 +100,32 @@ def l02(spark, sf):
     return t.groupBy(F.col("level").cast("bigint").alias("level"), "wait", "locked").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("l02_throttle_in_time", """with recursive e as (select user_id, event_id, epoch_us(ts) tm, event_type='error' bad, row_number() over (partition by user_id order by ts, event_id) n from events where event_type in ('error','purchase') and user_id is not null),
+_IN_TIME = """with recursive e as (select user_id, event_id, epoch_us(ts) tm, event_type='error' bad, row_number() over (partition by user_id order by ts, event_id) n from events where event_type in ('error','purchase') and user_id is not null),
  r as (select user_id, cast(0 as bigint) n, cast(null as varchar) outcome, 0 fails, cast(null as bigint) "last", cast(null as bigint) until, 0 wait from (select distinct user_id from e)
   union all select user_id, n, case when tm<ready then 'refused' when not bad then 'ok' when fails+1>=5 then 'locked' else 'failed' end,
    case when tm<ready then fails when not bad then 0 else fails+1 end, case when tm<ready then "last" when bad then tm end, case when tm<ready then until when bad and fails+1>=5 then tm+900000000 end,
    case when tm<ready then cast((ready-tm)//1000000+1 as int) when not bad then 0 when fails+1>=5 then 900 when fails+1>=3 then least(2<<(fails+1-3),30) else 0 end
   from (select *, coalesce(until, "last"+case when fails<3 then 0 else least(2<<(fails-3),30) end*1000000, -1) ready from (select e.user_id, e.n, e.tm, e.bad, case when r.until<=e.tm then 0 else r.fails end fails, case when r.until<=e.tm then null else r."last" end "last", case when r.until<=e.tm then null else r.until end until
    from r join e on e.user_id=r.user_id and e.n=r.n+1)))
- select outcome, cast(fails as bigint) level, count(*) n, cast(sum(wait) as bigint) waits from r where n>0 group by all""")
+ select outcome, cast(fails as bigint) level, count(*) n, cast(sum(wait) as bigint) waits from r where n>0 group by all"""
+
+
+@query("l02_throttle_in_time", _IN_TIME)
 def l02_in_time(spark, sf):
     t = J.throttle_in_time(events(spark, sf), "user_id", "event_id", "ts", F.col("event_type") == "error", F.col("event_type") == "purchase")
     return t.groupBy("outcome", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wait").cast("bigint")).alias("waits"))
 
 
+FORGET = 86_400
+
+
+@query("l02_throttle_forgetting", _IN_TIME.replace("r.until<=e.tm", f'(r.until<=e.tm or r.until is null and e.tm-r."last">={FORGET}000000)'))
+def l02_forgetting(spark, sf):
+    """As in time, with failures forgotten after a day: what bounds the state of a stream."""
+    t = J.throttle_in_time(events(spark, sf), "user_id", "event_id", "ts", F.col("event_type") == "error", F.col("event_type") == "purchase", FORGET)
+    return t.groupBy("outcome", F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wait").cast("bigint")).alias("waits"))
+
+
 @query("l03_address_block", """with recursive e as (select user_id, epoch_us(ts) tm, row_number() over (partition by user_id order by ts, event_id) n from events where event_type='error' and user_id is not null and ts is not null),
  r as (select user_id, cast(0 as bigint) n, cast([] as bigint[]) recent, cast(-1 as bigint) until, cast(null as varchar) outcome, cast(0 as bigint) k from (select distinct user_id from e)
   union all select user_id, n, case when tm<until then recent when len(now)>=2 then cast([] as bigint[]) else now end, case when tm>=until and len(now)>=2 then tm+86400000000 else until end,
@@ -134,3 +169,28 @@ def l05(spark, sf):
     J.run_to_table(scored, f"{root}/out", f"{root}/state")
     got = spark.read.schema("unit_id bigint, arm string, status string, effect double").parquet(f"{root}/out")
     return got.groupBy("arm", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.coalesce("effect", F.lit(0.0))), 4).alias("effect"))
+
+
+def order_units(spark, sf, orders):
+    """unit_id, price and the covariates of the model for a table or a stream of orders; customers are a table."""
+    cust = T.table(spark, sf, "customer").select("c_custkey", ((F.col("c_acctbal") - 4500) / 3200).alias("x1"), F.col("c_mktsegment").isin("BUILDING", "MACHINERY").cast("int").alias("b1"))
+    return orders.join(cust, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("unit_id"), F.col("o_totalprice").alias("price"), "x1", "b1")
+
+
+_SCORED = V.PLANTED_FIT + "," + C.dr_sql() + """,
+ un as (select o_totalprice p, ((c_acctbal-4500)/3200.0-m1)/s1 z1, (cast(c_mktsegment in ('BUILDING','MACHINERY') as int)-m2)/s2 z2 from orders join customer on o_custkey=c_custkey, dr_m),
+ sc2 as (select 'A' arm, case when p<20000 then 'excluded' when p>=300000 then 'caution' else 'no_rule_fired' end status, k0+k1*z1+k2*z2 value,
+   sqrt(v00+2*v01*z1+2*v02*z2+v11*z1*z1+2*v12*z1*z2+v22*z2*z2) se from un, dr_b join dr_v using (target) where target='A')"""
+
+
+@query("l05_model_scoring", V.rounded("select arm, status, 1 as version, count(*) n, sum(case when status<>'excluded' then value end) total, sum(case when status<>'excluded' then se end) total_se from sc2 group by all",
+                                      ["arm", "status", "version", "n"], ["total", "total_se"], 3, _SCORED))
+def l05_model(spark, sf):
+    """New units as a file stream, scored by the newest published version of the fitted second stage."""
+    _, model = C.fitted(T.planted(spark, sf))
+    root = shared_dir(spark, f"evenhand_models_{uuid.uuid4().hex[:8]}")
+    model.publish(spark, f"{root}/models", 1)
+    s = spark.readStream.schema(T.table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    J.score_stream(order_units(spark, sf, s), f"{root}/models", STREAM_RULES, ("A",), f"{root}/out", f"{root}/state")
+    got = spark.read.schema("unit_id bigint, arm string, status string, value double, se double, version int").parquet(f"{root}/out")
+    return rnd(got.groupBy("arm", "status", "version").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.sum("se").alias("total_se")), 3)

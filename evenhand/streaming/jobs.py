@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evenhand.functions.ranking import exact_quantiles, global_rank
+from evenhand.operators.effects import pick
+from evenhand.operators.linear import LinearEffect
+from evenhand.operators.rules import verdicts
 
 FREE, LIMIT, LOCK, CAP = 3, 5, 900, 30
 
@@ -26,12 +29,29 @@ def latency_summary(events: DataFrame, by: str, value: str, failed: Column, vali
     return g.join(q, by)
 
 
-def latency_windows(events: DataFrame, ts: str, value: str, failed: Column, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """The streaming form: tumbling windows with a watermark and approximate quantiles."""
+def latency_windows(events: DataFrame, ts: str, value: str, failed: Column, width: str = "1 day", late: str = "1 hour", k: int = 800) -> DataFrame:
+    """(start, n, max_value, fallbacks, sketch) of tumbling windows, of a table or of a stream with a watermark.
+
+    The sketch of a window's values can be merged with others; a rank read from it is off by about 2.3 / ``k`` ** 0.9 of the window
+    (1 in 180 at 800) or less, 99 times in 100, and a window of fewer than ``k`` values is exact.
+    """
     e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
     g = e.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("max_value"), F.sum(failed.cast("bigint")).alias("fallbacks"),
-                                                      F.approx_percentile(value, [0.5, 0.95], 10000).alias("q"))
-    return g.select(F.col("w.start").alias("start"), "n", "max_value", "fallbacks", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
+                                                      F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+    return g.select(F.col("w.start").alias("start"), "n", "max_value", "fallbacks", "sketch")
+
+
+def longer_windows(windows: DataFrame, start: Column, k: int = 800) -> DataFrame:
+    """Windows merged to longer ones that begin at ``start``: counts add up, sketches merge; the events aren't read again."""
+    return windows.groupBy(start.alias("start")).agg(F.sum("n").alias("n"), F.max("max_value").alias("max_value"), F.sum("fallbacks").alias("fallbacks"),
+                                                     F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def with_quantiles(windows: DataFrame) -> DataFrame:
+    """p50, p95 and fallback_pct in the place of the sketch; null for windows without a value."""
+    some = F.kll_sketch_get_n_double("sketch") > 0
+    p50, p95 = (F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(p))) for p in (0.5, 0.95))
+    return windows.select("*", p50.alias("p50"), p95.alias("p95"), (100.0 * F.col("fallbacks") / F.col("n")).alias("fallback_pct")).drop("sketch")
 
 
 # Failure throttle
@@ -76,14 +96,16 @@ def throttle_stream(events: DataFrame, key: str, order: str, failed: Column, suc
 
 
 class Throttle:
-    """The throttle of one key in event time (microseconds): attempts during a wait or a lock are refused and not counted, a lock ends by itself."""
+    """The throttle of one key in event time (microseconds): attempts during a wait or a lock are refused and not counted, a lock ends by itself,
+    and failures are forgotten ``forget`` seconds after the last one (never, if None)."""
 
-    def __init__(self, fails: int = 0, last: int = -1, until: int = -1):
-        self.fails, self.last, self.until = fails, last, until
+    def __init__(self, fails: int = 0, last: int = -1, until: int = -1, forget: int | None = None):
+        self.fails, self.last, self.until, self.forget = fails, last, until, forget
 
     def attempt(self, at: int, failed: bool) -> tuple[str, int, int]:
         """(outcome, failures so far, seconds until the next try)."""
-        if 0 <= self.until <= at:
+        stale = self.forget is not None and self.last >= 0 and self.until < 0 and at - self.last >= self.forget * 1_000_000
+        if 0 <= self.until <= at or stale:
             self.fails, self.last, self.until = 0, -1, -1
         delay = 0 if self.fails < FREE else min(2 ** (self.fails - FREE + 1), CAP)
         ready = self.until if self.until >= 0 else self.last + delay * 1_000_000 if self.last >= 0 else -1
@@ -106,16 +128,16 @@ def _attempts(events: DataFrame, key: str, order: str, ts: str, failed: Column,
     return events.where(failed | success).select(F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("seq"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), failed.alias("bad"))
 
 
-def throttle_in_time(events: DataFrame, key: str, order: str, ts: str, failed: Column, success: Column) -> DataFrame:
+def throttle_in_time(events: DataFrame, key: str, order: str, ts: str, failed: Column, success: Column, forget: int | None = None) -> DataFrame:
     """(key, order, outcome, level, wait) of every attempt. Attempts of a key pass in order of time through one small state; none are gathered."""
 
     def run(batches):
-        own, state = None, Throttle()
+        own, state = None, Throttle(forget=forget)
         for b in batches:
             out = []
             for k, at, bad in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("bad").to_pylist(), strict=True):
                 if k != own:
-                    own, state = k, Throttle()
+                    own, state = k, Throttle(forget=forget)
                 out.append(state.attempt(at, bad))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("seq"), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=["key", "seq", "outcome", "level", "wait"])
 
@@ -124,9 +146,9 @@ def throttle_in_time(events: DataFrame, key: str, order: str, ts: str, failed: C
     return got.withColumnsRenamed({"key": key, "seq": order})
 
 
-def throttle_in_time_stream(events: DataFrame, key: str, order: str, ts: str, failed: Column, success: Column, late: str = "1 hour") -> DataFrame:
-    """The streaming form: state of three numbers per key, dropped when the watermark has passed the end of its lock or wait; what a
-    micro-batch brings of a key is taken in order of time."""
+def throttle_in_time_stream(events: DataFrame, key: str, order: str, ts: str, failed: Column, success: Column, late: str = "1 hour", forget: int | None = None) -> DataFrame:
+    """The streaming form: state of three numbers per key. It goes at a success, and when the watermark has passed the end of a lock or the time
+    after which failures are forgotten; without ``forget``, one to four failures stay. What a micro-batch brings of a key is taken in order of time."""
     e = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
     e = e.where(failed | success).select("__ts", F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("seq"), F.unix_micros("__ts").alias("at"), failed.alias("bad"))
 
@@ -134,12 +156,15 @@ def throttle_in_time_stream(events: DataFrame, key: str, order: str, ts: str, fa
         if state.hasTimedOut:
             state.remove()
             return
-        own = Throttle(*state.get) if state.exists else Throttle()
+        own = Throttle(*(state.get if state.exists else ()), forget=forget)
         rows = sorted(r for f in frames for r in zip(f["at"].tolist(), f["seq"].tolist(), f["bad"].tolist(), strict=True))
         out = [(k[0], seq, *own.attempt(at, bad)) for at, seq, bad in rows]
-        state.update((own.fails, own.last, own.until))
-        end = max(own.until, own.last + CAP * 1_000_000)
-        if own.fails and end >= 0 and own.until >= 0:
+        end = own.until if own.until >= 0 else own.last + forget * 1_000_000 if forget is not None else -1
+        if own.fails:
+            state.update((own.fails, own.last, own.until))
+        elif state.exists:
+            state.remove()
+        if own.fails and end >= 0:
             state.setTimeoutTimestamp(max(end // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "seq", "outcome", "level", "wait"])
 
@@ -237,3 +262,24 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     """Process everything available and stop; the checkpoint makes a restart continue where it was."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def score_units(units: DataFrame, model: LinearEffect, rules, arms) -> DataFrame:
+    """(unit_id, arm, status, value, se): the rules' verdict for every unit and arm, and the model's effect where no rule excludes it."""
+    wide = [f"{c}_{a}" for a in arms for c in ("value", "se")]
+    v = verdicts(model.score_wide(units, only=set(arms)), rules, arms, extra=wide)
+    given = F.col("status") != "excluded"
+    return v.select("unit_id", "arm", "status", *[F.when(given, pick(c, F.col("arm"), arms)).alias(c) for c in ("value", "se")])
+
+
+def score_stream(units: DataFrame, models: str, rules, arms, path: str, checkpoint: str) -> None:
+    """Score what has come of a stream of units, each micro-batch by the newest model published at ``models`` when it begins.
+
+    Rows carry the model's version. A micro-batch that is run again replaces its own folder, so no unit is scored twice.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        version, model = LinearEffect.published(batch.sparkSession, models)
+        score_units(batch, model, rules, arms).withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    units.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
