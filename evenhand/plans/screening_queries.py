@@ -130,6 +130,69 @@ def j09(spark, sf):
     return texts(spark, sf).groupBy("k", outcome.alias("outcome"), F.coalesce(reason, F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# readings and states, added to a conversation's texts by conversation
+MORE = [" hba1c 68 mmol/mol", " and hba1c is 9.1 %", " no glucose of 30 mg/dl", " egfr 250 since 3 weeks", " my patient had a seizure, which drug carries less risk", " can a seizure be a risk",
+        " history of seizure", " sugar was 3.1 mmol/l then 2.0", " bmi 31 for 5 years and bg 640", " please do not swear darn"]
+FLAGS, KNOW, PRESENT, PERSONS, SWEAR = ["chest pain", "seizure"], ["cause", "causes", "risk"], ["now", "today"], ["my", "patient", "he", "she"], ["darn"]
+
+
+def more_texts(spark, sf):
+    add = F.element_at(F.array(*[F.lit(m) for m in MORE]), F.pmod("conv_id", F.lit(len(MORE))).cast("int") + 1)
+    t = texts(spark, sf).select("conv_id", "turn", "k", F.concat(F.col("text"), add).alias("text"))
+    return S.with_words(t).withColumn("found", S.readings(F.col("text"), CUES))
+
+
+def _list(xs):
+    return "[" + ",".join(f"'{x}'" for x in xs) + "]"
+
+
+_MORE = "mx as (select *, regexp_extract_all(lower(text), '[\\pL\\pN]+') w, regexp_extract_all(lower(text), '" + S.READING_TOKEN + "') t from (select conv_id, turn, k, text||" + _list(MORE) + f"[conv_id%{len(MORE)}+1] as text from tx)),"
+_MORE = "with " + TX + ", " + _MORE + f""" nb as (select conv_id, turn, k, t, i, list_reverse(list_slice(t,greatest(i-4,1),i-1)) b, coalesce(t[i+1],'') u from mx, unnest(range(1,len(t)+1)) q(i) where regexp_matches(t[i],'^[0-9]')),
+ nn as (select *, list_filter(list_transform(b, lambda x: case when x in ('glucose','sugar','bg') then 'glucose' when x in ('hba1c','a1c') then 'hba1c' when x in ('egfr','bmi') then x when regexp_matches(x,'^[0-9]') then '#' end), lambda x: x is not null)[1] as name from nb),
+ rd as (select conv_id, turn, k, name, case when not (name='hba1c' and u='mmol/mol') then cast(t[i] as double)*(case when name='glucose' and u in ('mmol','mmol/l') then 18.0 else 1.0 end) end v, list_has_any(list_slice(t,greatest(i-7,1),i-1),{_list(CUES)}) cued
+   from nn where name<>'#' and u not in {tuple(S.TIMES)}),
+ rs as (select conv_id, turn, count(*) n_read, bool_or(v is null or name='glucose' and (v<20 or v>600) or name='hba1c' and (v<3 or v>20) or name='egfr' and (v<0 or v>200) or name='bmi' and (v<10 or v>80)) off,
+   bool_or(coalesce(name='glucose' and (v<54 or v>400) and not cued, false)) alarm from rd group by 1,2),
+ fl as (select mx.*, coalesce(off,false) off, coalesce(alarm,false) alarm,
+   len(list_filter(range(1,len(w)+1), lambda a: (w[a]='seizure' or w[a]='chest' and coalesce(w[a+1],'')='pain') and not list_has_any(list_slice(w,greatest(a-3,1),a-1),{_list(CUES)})))>0 words,
+   list_has_any(w,{_list(KNOW)}) and not list_has_any(w,{_list(PRESENT + PERSONS)}) general from mx left join rs using (conv_id, turn))"""
+_FLAG = "(words and not general or alarm)"
+
+
+@query("j04_readings", _MORE + " select name, cued, count(*) n, count(v) n_taken, round(sum(v),4) total from rd group by all")
+def j04_readings(spark, sf):
+    r = more_texts(spark, sf).select(F.explode("found").alias("r")).select("r.*")
+    return r.groupBy("name", "cued").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_taken"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def _red(found="found"):
+    return S.red_flag(F.col(found), FLAGS, CUES, KNOW, PRESENT, PERSONS)
+
+
+@query("j05_red_flags", _MORE + f" select k, {_FLAG} red_flag, off out_of_range, alarm, count(*) n from fl group by all")
+def j05_red_flags(spark, sf):
+    f = F.col("found")
+    return more_texts(spark, sf).groupBy("k", _red().alias("red_flag"), S.out_of_range(f).alias("out_of_range"), S.alarming(f).alias("alarm")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j09_five_outcomes", _MORE + ", oc as (select k, case when " + _ID + " then 'identifier' when list_has_any(w,['darn']) then 'language' when words or alarm then 'emergency' when (" + _SCOPE + ") then 'scope' else 'pass' end outcome from fl) select k, outcome, count(*) n from oc group by all")
+def j09_five(spark, sf):
+    """The classifier of five outcomes: no exception for questions in general, the first that fires in a fixed order."""
+    t = F.col("text")
+    outcome = S.first_outcome([("identifier", functools.reduce(operator.or_, S.identifiers(t).values())), ("language", S.any_word("w", SWEAR)),
+                               ("emergency", S.uncued(FLAGS, CUES, 3) | S.alarming(F.col("found"))), ("scope", S.out_of_scope(t, ["tablets"], CUES, ["approved", "indicated"]))])
+    return more_texts(spark, sf).groupBy("k", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j09_seven_checks", _MORE + ", cb as (select k, case when " + _ID + " then 'identifier' when " + _FLAG + " then 'red_flag' when (" + _SCOPE + ") then 'scope' when " + _INJ + " then 'injection' when off then 'range' when (" + _LANG + ") is not null then 'length_language' when " + _AMT +
+       " then 'amount' end reason from fl) select k, case when reason is null then 'PASS' else 'BLOCK' end outcome, coalesce(reason,'') reason, count(*) n from cb group by all")
+def j09_seven(spark, sf):
+    t = F.col("text")
+    outcome, reason = S.combine([("identifier", functools.reduce(operator.or_, S.identifiers(t).values())), ("red_flag", _red()), ("scope", S.out_of_scope(t, ["tablets"], CUES, ["approved", "indicated"])),
+                                 ("injection", S.injection(t, ["ignore previous"])), ("range", S.out_of_range(F.col("found"))), ("length_language", S.length_or_language(t, ["und", "der"], ["the"]).isNotNull()), ("amount", t.rlike(S.AMOUNT_REQUEST))])
+    return more_texts(spark, sf).groupBy("k", outcome.alias("outcome"), F.coalesce(reason, F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _SENT = "list_filter(string_split(regexp_replace(text,'([.!?])\\s+','\\1'||chr(1),'g'),chr(1)), lambda s: trim(s)<>'')"
 
 
