@@ -263,7 +263,7 @@ class Transducer:
             del self.words[w]
         return out
 
-    def encode_all(self, texts: list[str | None], block: int = 1 << 18) -> list[bytes]:
+    def encode_all(self, texts: list[str | None], block: int = 1 << 20) -> list[bytes]:
         """The packed ids of each text. White space ends every piece, and no step of the normaliser crosses it; about ``block`` characters at a time are worked on."""
         out: list[list[bytes]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
@@ -388,7 +388,7 @@ def digests(docs: DataFrame, path: str, chunk: int = 1 << 16) -> DataFrame:
         back = Decoder(coder)
         for batch in slices(batches, "text", 2 << 20):
             n, a, b = [], [], []
-            for packed in coder.encode_all(batch.column("text").to_pylist()):
+            for packed in coder.encode_all(batch.column("text").to_pylist(), 1 << 18):
                 ids, of_ids, of_text = coder.ids(packed), hashlib.sha256(), hashlib.sha256()
                 for i in range(0, len(ids), chunk):
                     part = ids[i : i + chunk]
