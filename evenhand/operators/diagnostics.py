@@ -10,6 +10,7 @@ from evenhand.functions.hashing import hash_key, noise, uniform
 from evenhand.functions.ranking import exact_quantiles, hash_threshold
 from evenhand.functions.stats import fsum, small, union_all
 from evenhand.operators import effects as E
+from evenhand.session import materialise
 
 
 def overlap_report(scored: DataFrame, first: str, second: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -148,7 +149,7 @@ def placebo_arms(units: DataFrame, repeats: int, arms=cfg.ARMS) -> DataFrame:
     rep = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("__key", hash_key("unit_id", F.lit("perm"), F.col("rep")))
     want = units.sparkSession.range(1, repeats + 1).select(F.col("id").cast("int").alias("rep"), F.explode(F.array(*[F.lit(c) for c in cuts])).alias("k"))
     found = hash_threshold(rep.select("rep", "__key"), "__key", want, by=("rep",))
-    wide = found.groupBy("rep").agg(*[F.max(F.when(F.col("k") == c, F.col("threshold"))).alias(f"__c{i}") for i, c in enumerate(cuts)])
+    wide = materialise(found.groupBy("rep").agg(*[F.max(F.when(F.col("k") == c, F.col("threshold"))).alias(f"__c{i}") for i, c in enumerate(cuts)]), "cuts")
     arm = F.lit(arms[-1])
     for i in reversed(range(len(cuts))):
         arm = F.when(F.col("__key") <= F.coalesce(F.col(f"__c{i}"), F.lit("")), arms[i]).otherwise(arm)

@@ -25,13 +25,33 @@ def pick(prefix: str, arm: Column, arms) -> Column:
 # Folds and sufficient statistics
 
 
+def dealt(units: DataFrame, about: int, salt: str = "fold", rows: int = 50_000) -> DataFrame:
+    """Units dealt by a prefix of their fold key (__h, __b), before they are copied for replicates: about ``rows`` to a task.
+
+    ``about`` is their number or somewhat more. Copies then stay with their unit, so that ``add_folds`` moves none of them."""
+    keyed = units.withColumn("__h", hash_key("unit_id", salt)).withColumn("__b", F.substring("__h", 1, 3))
+    return keyed.repartition(about // rows + units.sparkSession.sparkContext.defaultParallelism, "__b")
+
+
 def add_folds(units: DataFrame, k: int = cfg.FOLDS, salt: str = "fold", by=()) -> DataFrame:
     """Stratified folds: position in the arm's hash order modulo k, so every arm is split evenly."""
+    if "__b" in units.columns:
+        return _folds_in_place(units, k, [*by, "arm"])
     keyed = units.withColumn("__h", hash_key("unit_id", salt))
     ranked = hash_rank(keyed, "__h", "__rk", by=(*by, "arm"))
     return ranked.withColumn("fold", ((F.col("__rk") - 1) % k).cast("int")).drop("__h", "__rk")
 
 
+def _folds_in_place(units: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """Folds of dealt units: only the sizes of their 4,096 buckets in each group are moved."""
+    sizes = units.groupBy("__b", *by).agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("__b", *by, (F.coalesce(F.sum("__n").over(before), F.lit(0)) % k).alias("__off"))
+    place = F.row_number().over(W.partitionBy("__b", *by).orderBy("__h"))
+    ranked = units.withColumn("__rk", place).join(F.broadcast(offsets), ["__b", *by])  # at most 4,096 rows a group, whatever the number of units
+    return ranked.withColumn("fold", ((F.col("__off") + F.col("__rk") - 1) % k).cast("int")).drop("__h", "__b", "__rk", "__off")
+
+
 def cell_stats(units: DataFrame, outcomes=("y",), by=(), weight: Column | None = None) -> DataFrame:
     """n, sum and sum of squares per (by, outcome, cell, fold, arm): one pass, map-side combined."""
     by = list(by)

@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from evenhand.functions.ranking import hash_threshold
+from evenhand.operators import effects as E
 from evenhand.operators import retrieval as H
 
 
@@ -33,3 +35,24 @@ def test_terms_of_questions_need_no_index(spark):
     got = {r["term"]: r["df"] for r in H.tfidf_terms(p, q).collect()}
     assert got == {"red": 2, "green": 2, "red green": 2, "blue": 2}
     assert [r["word"] for r in H.unknown_words(q, H.tfidf_terms(p, q)).collect()] == ["unknown"]
+
+
+def test_copies_of_dealt_units_are_not_moved(spark):
+    units = spark.range(3_000).select(F.col("id").alias("unit_id"), (F.col("id") % 4).cast("int").alias("cell"))
+    copies = lambda u: u.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn(
+        "arm", F.element_at(F.array(*[F.lit(a) for a in "ABC"]), (F.pmod(F.xxhash64("unit_id", "rep"), F.lit(3)) + 1).cast("int")))
+    placed = E.add_folds(copies(E.dealt(units, 3_000, rows=500)), by=("rep",))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    plain = E.add_folds(copies(units), by=("rep",))
+    key = ["unit_id", "rep", "arm", "fold"]
+    assert placed.select(key).exceptAll(plain.select(key)).count() == 0 and placed.count() == 9_000
+
+
+def test_thresholds_move_only_the_wanted_bucket(spark):
+    df = spark.range(5_000).select(F.lit(1).alias("rep"), F.md5(F.col("id").cast("string")).alias("key"))
+    want = spark.createDataFrame([(1, 1), (1, 2_500), (1, 5_000)], "rep int, k int")
+    got = hash_threshold(df, "key", want, by=("rep",))
+    assert "SortMergeJoin [rep" not in got._jdf.queryExecution().executedPlan().toString()
+    keys = sorted(r["key"] for r in df.collect())
+    assert {r["k"]: r["threshold"] for r in got.collect()} == {k: keys[k - 1] for k in (1, 2_500, 5_000)}
