@@ -144,12 +144,35 @@ def copies(rows: DataFrame, small: DataFrame, mix: Mix) -> DataFrame:
 SETTINGS = {"weights": (5, 2, 1), "most": 3.0, "seed": 17, "shards": None, "shard_words": 2_000_000, "max_sources": 10_000, "max_cells": 1 << 20}
 
 
+def drawn(rows: DataFrame, mix: Mix, seed: int) -> DataFrame:
+    """rows (with source, block and copies) with ``shards``: for each copy the shard that draws it, by the tree's quotas and each source's random order."""
+    rank, starts, blocks = {r[0]: i for i, r in enumerate(mix.table)}, np.cumsum(mix.quotas, axis=1), mix.blocks
+    rng = np.random.Generator(np.random.PCG64(seed + 2))
+    order = [rng.permutation(int(n)).astype(np.int32) for n in mix.quotas.sum(axis=1)]  # in which the blocks due from a source are drawn
+    index = F.broadcast(rows.sparkSession.createDataFrame([(s, i) for s, i in rank.items()], "src string, src_rank int"))
+
+    @F.pandas_udf("array<int>")
+    def shards_of(source: pd.Series, block: pd.Series, copies: pd.Series) -> pd.Series:
+        n = copies.to_numpy(np.int64)
+        own, ends = np.repeat(source.to_numpy(np.int64), n), np.cumsum(n)
+        slot = np.repeat(block.to_numpy(np.int64), n) + (np.arange(len(own)) - np.repeat(ends - n, n)) * blocks
+        out = np.full(len(own), -1, np.int32)
+        for s in np.unique(own):
+            at = np.flatnonzero((own == s) & (slot < len(order[s])))  # a slot beyond the source's quota is drawn by no shard
+            out[at] = np.searchsorted(starts[s], order[s][slot[at]], side="right")
+        return pd.Series([x[x >= 0] for x in np.split(out, ends)[:-1]], dtype=object)
+
+    each = rows.join(index, F.col("source").cast("string").eqNullSafe(F.col("src")), "left").drop("src")
+    return each.withColumn("shards", shards_of(F.coalesce("src_rank", F.lit(0)), "block", "copies")).drop("src_rank")
+
+
 def taken(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
+    """doc_id, size, source_size, target and taken of every document, and ``shards``, those that drew it; what they drew is counted."""
     settings = SETTINGS | settings
     rows = written(sized(docs, settings["seed"]), "sizes")
-    out = copies(rows, rows, plan(rows, **settings))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
+    mix = plan(rows, **settings)
+    out = drawn(copies(rows, rows, mix), mix, settings["seed"])
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("bigint").alias("taken"), "shards")
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
@@ -162,23 +185,9 @@ def rows_and_shards(docs: DataFrame, settings: dict) -> tuple[DataFrame, int]:
     base = without(docs, "shard", "turn")
     rows = written(sized(base, settings["seed"]), "sizes")
     mix = plan(rows, **settings)
-    rank, starts, blocks = {r[0]: i for i, r in enumerate(mix.table)}, np.cumsum(mix.quotas, axis=1), mix.blocks
-    rng = np.random.Generator(np.random.PCG64(settings["seed"] + 2))
-    order = [rng.permutation(int(n)).astype(np.int32) for n in mix.quotas.sum(axis=1)]  # in which the blocks due from a source are drawn
-    index = F.broadcast(docs.sparkSession.createDataFrame([(s, i) for s, i in rank.items()], "src string, src_rank int"))
-
-    @F.pandas_udf("int")
-    def shard_of(source: pd.Series, slot: pd.Series) -> pd.Series:
-        out = np.zeros(len(slot), np.int32)
-        for s in source.unique():
-            own = (source == s).to_numpy()
-            out[own] = np.searchsorted(starts[s], order[s][slot.to_numpy()[own]], side="right")
-        return pd.Series(np.minimum(out, starts.shape[1] - 1))
-
     each = sized(base.select("doc_id", "source", "text", F.struct(*quoted(base)).alias("__row")), settings["seed"], "__row")
-    each = copies(each, rows, mix).where("copies > 0").join(index, F.col("source").cast("string").eqNullSafe(F.col("src"))).drop("src")
-    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    each = each.withColumn("shard", shard_of("src_rank", F.col("block") + (F.col("copy") - 1) * blocks)).withColumn("turn", F.xxhash64(F.lit(settings["seed"] + 1), "place", "copy"))
+    each = drawn(copies(each, rows, mix).where("copies > 0"), mix, settings["seed"])
+    each = each.select("*", F.posexplode("shards").alias("at", "shard")).withColumn("turn", F.xxhash64(F.lit(settings["seed"] + 1), "place", F.col("at") + 1))
     return each.select("__row.*", "shard", "turn"), mix.quotas.shape[1]
 
 

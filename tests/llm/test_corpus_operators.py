@@ -367,3 +367,14 @@ def test_deep_nesting_and_teaser_articles():
     assert wrapper.content(f"<main><h1>Title</h1><p>{long}</p><article class='teaser'>See also this.</article></main>", None, 3).startswith("Title\nA long")
     assert "A long" in wrapper.content(f"<div><p>{long}</p></div><article>Teaser.</article>", None, 3)
     assert wrapper.content(f"<div>Some side text.</div><article><p>{long}</p></article>", None, 3) == long.strip()
+
+
+def test_taken_is_what_the_shards_drew(spark):
+    rows = [(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.taken(df, shards=8).collect()}
+    want: dict = {}
+    for r in mixing.mixed(df, shards=8).collect():
+        want.setdefault(r["doc_id"], []).append(r["shard"])
+    assert {d: sorted(r["shards"]) for d, r in got.items() if r["shards"]} == {d: sorted(x) for d, x in want.items()}
+    assert all(r["taken"] == r["size"] * len(want.get(d, [])) for d, r in got.items())
