@@ -1,8 +1,8 @@
 """10 Language ID: scripts narrow the candidate languages, then Viterbi over per-word scores with a penalty for each switch labels spans.
 
 Learning: letter n-grams of the words of labelled documents, hashed to a table of fixed size, are counted per language on
-Spark. At most about ``sample_rows`` labelled rows are used (each row is in or out by the hash of its doc_id), so the model
-has a fixed size at every input size. Prediction reads the text alone.
+Spark, over all labelled rows that are not held out (or, if ``sample_rows`` is given, over about so many, each in or out by the
+hash of its doc_id); the model has a fixed size at every input size. Prediction reads the text alone.
 
 Defined results: null text, empty text or text without a letter gives ``und`` with score 0 and no spans; a null doc_id is
 never learned from and not held out; repeated rows get the same answer each; equal scores go to the language that is first
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import quoted, slices, without
+from evenhand.llm.common import quoted, slices, without, written
 
 SPANS = "array<struct<start:int,stop:int,lang:string>>"
 RESULT = ["lang_pred", "score", "spans"]
@@ -73,16 +73,23 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, sample_rows: int) -> DataFrame:
-    """About ``sample_rows`` labelled rows that are not held out."""
-    labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+def learned_from():
+    """Rows with a label that are not held out."""
+    return F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
+
+
+def labelled_rows(docs: DataFrame, sample_rows: int | None) -> DataFrame:
+    """All labelled rows that are not held out, or about ``sample_rows`` of them."""
+    labelled = docs.select("doc_id", "text", "lang").where(learned_from())
+    if sample_rows is None:
+        return labelled
     n = labelled.count()
     share = min(1.0, sample_rows / max(1, n))
     return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def fit(docs: DataFrame, sample_rows: int = 8000, max_langs: int = 64) -> Model:
-    """Counts over about ``sample_rows`` labelled rows; more than ``max_langs`` languages are an error."""
+def fit(docs: DataFrame, sample_rows: int | None = None, max_langs: int = 64) -> Model:
+    """Counts over all labelled rows, or about ``sample_rows`` of them; more than ``max_langs`` languages are an error."""
     part = labelled_rows(docs, sample_rows)
 
     def count(batches):
@@ -278,14 +285,13 @@ def predictions(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-def accept(docs: DataFrame, least: float = 0.2, sample_rows: int = 8000, slack: float = 2.0) -> DataFrame:
+def accept(docs: DataFrame, least: float = 0.2, sample_rows: int | None = None, slack: float = 2.0) -> DataFrame:
     """Documents in a known language. Those without a letter go, those of which no language holds a fair part (a score under ``least``), and those that fit
     their language by more than ``slack`` (a log-likelihood) worse than any labelled row of it does: foreign scripts and languages, random letters, encoded data."""
-    model = fit(docs, sample_rows)
-    rows = labelled_rows(docs, sample_rows)
-    bars = {r["lang_pred"]: r["bar"] for r in identify(rows, model, with_fit=True).where("fit is not null and lang_pred = lang").groupBy("lang_pred").agg(F.min("fit").alias("bar")).collect()}  # a row a language
+    found = written(identify(docs, fit(docs, sample_rows), with_fit=True).drop("spans"), "identified")  # predicted once; bars and results are read from it
+    own = found.where(learned_from() & F.col("fit").isNotNull() & (F.col("lang_pred") == F.col("lang")))
+    bars = {r["lang_pred"]: r["bar"] for r in own.groupBy("lang_pred").agg(F.min("fit").alias("bar")).collect()}  # a row a language
     bar = F.lit(float("inf"))
     for lang, worst in bars.items():
         bar = F.when(F.col("lang_pred") == lang, F.lit(worst - slack)).otherwise(bar)
-    found = identify(docs, model, with_fit=True)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("fit") >= bar)).select(quoted(without(docs, *RESULT, "fit")))

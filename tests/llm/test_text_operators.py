@@ -242,3 +242,16 @@ def test_foreign_and_random_texts_are_not_accepted(spark, sf):
     assert len(clean - kept) <= 0.01 * len(clean)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predictions(docs.unionByName(more)).where("doc_id >= 10000000").collect()}
     assert [got[10_000_000 + i] for i in (5, 6, 7)] == ["und"] * 3 and "und" not in [got[10_000_000 + i] for i in range(5)]
+
+
+def test_languages_are_learned_from_every_labelled_row(spark):
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit("common words").alias("text"), F.lit("en").alias("lang"))
+    learned = docs.where(~langid.held_out()).count()
+    assert langid.labelled_rows(docs, None).count() == learned and learned > 6_000
+    # the counts are those of all these rows: two words each
+    model = langid.fit(docs)
+    once = np.bincount(np.concatenate([langid.grams([w])[0] for w in ("common", "words")]), minlength=langid.BUCKETS) * float(learned) + 0.5
+    assert np.allclose(model.logp[:, 0], np.log(once / once.sum()), atol=1e-4)
+    more = docs.where(~langid.held_out()).selectExpr("doc_id + 9000 doc_id", "text", "lang").unionByName(docs)
+    many = langid.labelled_rows(more, None).count()
+    assert many > 8_000 and many == more.where(~langid.held_out()).count()
