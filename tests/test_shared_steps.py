@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evenhand.functions.ranking import hash_threshold
 from evenhand.operators import effects as E
 from evenhand.operators import retrieval as H
+from evenhand.operators import search as S
 from evenhand.sources import readers as R
 
 
@@ -63,3 +64,20 @@ def test_references_without_an_end_stay(spark):
     html = "<h1>a</h1><p>x &amp y &copy; &eacute; &#65; &#66 &amp;lt; &amp</p>"
     df = spark.createDataFrame([(1, html)], "page_id bigint, html string")
     assert df.select(R.html_lines(F.col("html"))).first()[0].split("\n")[-1] == "x &amp y © é A &#66 &lt; &amp"
+
+
+def test_pairs_of_question_and_passage_are_summed_in_their_part(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)] + ["é1", "ñ2"], k=rng.randrange(0, 9)))) for i in range(250)]
+    p = spark.createDataFrame(texts, "pos bigint, text string")
+    q = spark.createDataFrame([(0, "w1 w2 é1"), (1, "w3 ñ2"), (2, "none")], "query_id bigint, text string")
+    plan = S.Plan.plain(q)
+    index = S.build(p, plan)
+    s = S.scored(index.impacts, H.materialise(S.weights(plan, index), "weights"))
+    assert "Exchange hashpartitioning(" not in s._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    bm, vec = H.bm25(p, q).collect(), H.ngram_scores(p, q).collect()
+    for r in H.hybrid(p, q, keep=False).groupBy("query_id").agg(F.collect_list(F.struct("pos", "rank_bm25", "rank_vector")).alias("x")).collect():
+        for scores, at in ((bm, 1), (vec, 2)):
+            own = {t["pos"]: t["score"] for t in scores if t["query_id"] == r["query_id"]}
+            place = {pos: i + 1 for i, pos in enumerate(sorted(range(250), key=lambda k: (-own.get(k, 0.0), k)))}
+            assert all(place[x[0]] == x[at] for x in r["x"])
