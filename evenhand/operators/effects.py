@@ -38,7 +38,7 @@ def add_folds(units: DataFrame, k: int = cfg.FOLDS, salt: str = "fold", by=()) -
     if "__b" in units.columns:
         return _folds_in_place(units, k, [*by, "arm"])
     keyed = units.withColumn("__h", hash_key("unit_id", salt))
-    ranked = hash_rank(keyed, "__h", "__rk", by=(*by, "arm"))
+    ranked = hash_rank(keyed, "__h", "__rk", by=(*by, "arm"), keep=False)
     return ranked.withColumn("fold", ((F.col("__rk") - 1) % k).cast("int")).drop("__h", "__rk")
 
 
@@ -290,8 +290,8 @@ def unit_scores(units: DataFrame, wide: DataFrame, arms=cfg.ARMS) -> DataFrame:
 def scored_cohort(units: DataFrame, arms=cfg.ARMS, folds: int = cfg.FOLDS, outcome: str = "y") -> DataFrame:
     """Units with folds, cross-fitted cell nuisances and scores."""
     folded = add_folds(units, folds) if folds > 1 else units.withColumn("fold", F.lit(0))
-    st = cell_stats(folded, (outcome,))
-    wide = widen(cell_nuisance(st, arms, cross_fit=folds > 1), arms)
+    st = cell_stats(folded, (outcome,)).persist()  # a row per cell, fold and arm, read several times, as is the next
+    wide = widen(cell_nuisance(st, arms, cross_fit=folds > 1), arms).persist()
     return unit_scores(folded if outcome == "y" else folded.withColumn("y", F.col(outcome)), wide, arms)
 
 
@@ -326,7 +326,7 @@ def influence_estimates(df: DataFrame, psi: list[tuple[str, Column]], by=(), z:
 
 def cell_means(units: DataFrame, arms=cfg.ARMS) -> DataFrame:
     """T-learner in cells mode: mean outcome per (cell, arm), wide columns t_<arm>; missing arms take the arm mean."""
-    st = cell_stats(units.drop("fold"))
+    st = cell_stats(units.drop("fold")).persist()  # a row per cell and arm
     wide = widen(cell_nuisance(st, arms, cross_fit=False), arms, ("cell",))
     return wide.select("cell", *[F.col(f"mu_{a}").alias(f"t_{a}") for a in arms], *[F.col(f"e_{a}") for a in arms])
 
@@ -343,7 +343,7 @@ def additive_model(units: DataFrame, x: str, arms=cfg.ARMS) -> DataFrame:
 
 def s_learner(units: DataFrame, new_units: DataFrame, x: str, arms=cfg.ARMS) -> DataFrame:
     """Predictions s_<arm> of the additive model for new units."""
-    model = additive_model(units, x, arms)
+    model = additive_model(units, x, arms).persist()  # one row
     return new_units.crossJoin(F.broadcast(model)).select(  # one-row side
         "*", *[(F.col(f"level_{a}") + F.col("slope") * F.col(x)).alias(f"s_{a}") for a in arms]
     ).drop("slope", *[f"level_{a}" for a in arms])

@@ -201,7 +201,7 @@ def top_share_gain(df: DataFrame, score: str, truth: str, tie: str, shares: list
 
 def holdout(df: DataFrame, fraction: float = 0.3, salt: str = "split") -> DataFrame:
     """Adds ``test``: a seeded share of every arm, by position in its hash order."""
-    keyed = hash_rank(df.withColumn("__h", hash_key("unit_id", salt)), "__h", "__rk", by=("arm",))
+    keyed = hash_rank(df.withColumn("__h", hash_key("unit_id", salt)), "__h", "__rk", by=("arm",), keep=False)
     size = df.groupBy("arm").agg(F.count(F.lit(1)).alias("__na"))
     return keyed.join(size, "arm").withColumn("test", F.col("__rk") <= F.round(F.col("__na") * fraction)).drop("__h", "__rk", "__na")
 

@@ -1,5 +1,6 @@
 """Steps that many queries share: what they move, and that their results are those of the plain definition."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from evenhand.operators import effects as E
 from evenhand.operators import retrieval as H
 from evenhand.operators import search as S
 from evenhand.sources import readers as R
+from evenhand.sources import tables as T
 
 
 def shuffled_by(df):
@@ -81,3 +83,25 @@ def test_pairs_of_question_and_passage_are_summed_in_their_part(spark):
             own = {t["pos"]: t["score"] for t in scores if t["query_id"] == r["query_id"]}
             place = {pos: i + 1 for i, pos in enumerate(sorted(range(250), key=lambda k: (-own.get(k, 0.0), k)))}
             assert all(place[x[0]] == x[at] for x in r["x"])
+
+
+def operators_above_kept(df):
+    """Names of the plan's operators, without those below a kept table."""
+    todo, names = [df._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        names.append(node.nodeName())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return names
+
+
+def test_folds_are_placed_once(spark, sf):
+    folded = E.add_folds(T.planted(spark, sf))
+    names = operators_above_kept(folded)
+    assert "InMemoryRelation" in names and not {"Window", "Repartition", "RepartitionByExpression", "Aggregate"} & set(names)
+    scored = operators_above_kept(E.scored_cohort(T.planted(spark, sf)))
+    assert "Window" not in scored
+    got = sorted((r.arm, hashlib.md5(f"{r.unit_id}:fold".encode()).hexdigest(), r.fold) for r in folded.select("arm", "unit_id", "fold").collect())
+    for arm in "ABC":
+        assert [f for a, _, f in got if a == arm] == [i % 5 for i in range(sum(a == arm for a, *_ in got))]
