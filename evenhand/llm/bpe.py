@@ -34,7 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from evenhand.llm.common import quoted, slices, without
+from evenhand.llm.common import giving_back, quoted, slices, without
 
 RESULT = ["ids", "decoded"]
 WHITE = regex.compile(r"\s+")
@@ -376,7 +376,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([back.push(p.tolist()) + back.end() for p in packed], pa.string())], names=[*names, *RESULT])
 
     schema = ", ".join(f"{q} {t}" for q, (_, t) in zip(quoted(base), base.dtypes, strict=True))
-    return base.mapInArrow(run, f"{schema}, ids array<int>, decoded string")
+    return base.mapInArrow(giving_back(run), f"{schema}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, chunk: int = 1 << 16) -> DataFrame:
@@ -401,4 +401,4 @@ def digests(docs: DataFrame, path: str, chunk: int = 1 << 16) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(giving_back(run), f"doc_id {rows.dtypes[0][1]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,6 +72,19 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def giving_back(fn: Callable) -> Callable:
+    """fn, a function over a partition's batches; after the last one the worker gives freed memory back to the system, which it would hold through later stages."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return run
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, column: str) -> DataFrame:
     """fn over bounded pieces of the rows, as Arrow batches."""
     return df.mapInArrow(lambda batches: map(fn, slices(batches, column)), schema)

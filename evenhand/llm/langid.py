@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import quoted, slices, without, written
+from evenhand.llm.common import giving_back, quoted, slices, without, written
 
 SPANS = "array<struct<start:int,stop:int,lang:string>>"
 RESULT = ["lang_pred", "score", "spans"]
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, sample_rows: int | None = None, max_langs: int = 64) ->
         if scripts:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in scripts]), pa.array([k[1] for k in scripts]), pa.array([-1] * len(scripts), pa.int64()), pa.array([float(v) for v in scripts.values()])], names=["lang", "script", "bucket", "n"])
 
-    counts = part.mapInArrow(count, "lang string, script string, bucket bigint, n double").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = part.mapInArrow(giving_back(count), "lang string, script string, bucket bigint, n double").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, script, bucket, k = (counts.column(c).to_pylist() for c in ("lang", "script", "bucket", "n"))
     langs = sorted(set(lang))
     if len(langs) > max_langs:
@@ -275,7 +275,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, with_fit: boo
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], span_type), *([pa.array([g[3] for g in got], pa.float64())] if with_fit else [])], names=[*names, *result])
 
     schema = ", ".join(f"{q} {t}" for q, (_, t) in zip(quoted(base), base.dtypes, strict=True))
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double, spans {SPANS}{', fit double' if with_fit else ''}")
+    return base.mapInArrow(giving_back(run), f"{schema}, lang_pred string, score double, spans {SPANS}{', fit double' if with_fit else ''}")
 
 
 def predictions(docs: DataFrame) -> DataFrame:

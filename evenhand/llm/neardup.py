@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import quoted, skew_safe_join, slices, written
+from evenhand.llm.common import giving_back, quoted, skew_safe_join, slices, written
 from evenhand.llm.graph import components
 from evenhand.llm.shingles import mix, shingles, word_hashes
 
@@ -122,7 +122,7 @@ def classify(docs: DataFrame, threshold: float = 0.8, k: int = 5, trees: int = 4
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * trees, pa.int32()), pa.array(keys.astype(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(digests, pa.binary()), lists], names=["doc_id", "rid", "digest", "keys"])
 
-    signed = written(rows.mapInArrow(sign, f"doc_id {id_type}, rid bigint, digest binary, keys array<bigint>"), "signed")
+    signed = written(rows.mapInArrow(giving_back(sign), f"doc_id {id_type}, rid bigint, digest binary, keys array<bigint>"), "signed")
     nodes = written(signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("head"), F.count("*").alias("n"), F.first("keys").alias("keys")), "nodes")
 
     prefixes = nodes.select("digest", F.explode("keys").alias("key"))

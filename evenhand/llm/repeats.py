@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import quoted, skew_safe_join, slices, without, written
+from evenhand.llm.common import giving_back, quoted, skew_safe_join, slices, without, written
 
 UNIT = re.compile(r"[^.!?。！？｡\n]+[.!?。！？｡\n]*[ \t\r\n]*|[.!?。！？｡\n]+[ \t\r\n]*")
 GAP = re.compile(r"[ \t\r\n]+")
@@ -98,7 +98,7 @@ def units(docs: DataFrame, min_words: int, passage_words: int) -> DataFrame:
             ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), n)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.array([f[1] for f in found], np.int64)), pa.array(np.array([f[2] for f in found], bool))], names=["id", "h1", "h2", "place", "again"])
 
-    return docs.select(own_id().alias("id"), "text").mapInArrow(run, "id bigint, h1 bigint, h2 bigint, place bigint, again boolean")
+    return docs.select(own_id().alias("id"), "text").mapInArrow(giving_back(run), "id bigint, h1 bigint, h2 bigint, place bigint, again boolean")
 
 
 def joined_runs(places: np.ndarray) -> list[dict]:
@@ -130,7 +130,7 @@ def repeat_spans(docs: DataFrame, min_words: int = 8, passage_words: int = 50) -
                     spans.append(got)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["id", "spans"])
 
-    return lists.mapInArrow(run, "id bigint, spans array<struct<start:int,stop:int>>")
+    return lists.mapInArrow(giving_back(run), "id bigint, spans array<struct<start:int,stop:int>>")
 
 
 def removed(docs: DataFrame, min_words: int = 8) -> DataFrame:
