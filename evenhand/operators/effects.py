@@ -15,6 +15,7 @@ from evenhand import config as cfg
 from evenhand.functions.hashing import hash_key
 from evenhand.functions.ranking import exact_quantiles, hash_rank
 from evenhand.functions.stats import fsum, small, union_all
+from evenhand.session import materialise
 
 
 def pick(prefix: str, arm: Column, arms) -> Column:
@@ -288,10 +289,12 @@ def unit_scores(units: DataFrame, wide: DataFrame, arms=cfg.ARMS) -> DataFrame:
 
 
 def scored_cohort(units: DataFrame, arms=cfg.ARMS, folds: int = cfg.FOLDS, outcome: str = "y") -> DataFrame:
-    """Units with folds, cross-fitted cell nuisances and scores."""
+    """Units with folds, cross-fitted cell nuisances and scores.
+
+    The tables of cells are written: a kept table would carry the plan it was made by into every later plan that reads it, once for each time it is read."""
     folded = add_folds(units, folds) if folds > 1 else units.withColumn("fold", F.lit(0))
-    st = cell_stats(folded, (outcome,)).persist()  # a row per cell, fold and arm, read several times, as is the next
-    wide = widen(cell_nuisance(st, arms, cross_fit=folds > 1), arms).persist()
+    st = materialise(cell_stats(folded, (outcome,)), "cell_stats")  # a row per cell, fold and arm
+    wide = materialise(widen(cell_nuisance(st, arms, cross_fit=folds > 1), arms), "nuisances")
     return unit_scores(folded if outcome == "y" else folded.withColumn("y", F.col(outcome)), wide, arms)
 
 
@@ -326,8 +329,8 @@ def influence_estimates(df: DataFrame, psi: list[tuple[str, Column]], by=(), z:
 
 def cell_means(units: DataFrame, arms=cfg.ARMS) -> DataFrame:
     """T-learner in cells mode: mean outcome per (cell, arm), wide columns t_<arm>; missing arms take the arm mean."""
-    st = cell_stats(units.drop("fold")).persist()  # a row per cell and arm
-    wide = widen(cell_nuisance(st, arms, cross_fit=False), arms, ("cell",))
+    st = materialise(cell_stats(units.drop("fold")), "cell_stats")  # a row per cell and arm
+    wide = materialise(widen(cell_nuisance(st, arms, cross_fit=False), arms, ("cell",)), "cell_means")
     return wide.select("cell", *[F.col(f"mu_{a}").alias(f"t_{a}") for a in arms], *[F.col(f"e_{a}") for a in arms])
 
 
@@ -343,7 +346,7 @@ def additive_model(units: DataFrame, x: str, arms=cfg.ARMS) -> DataFrame:
 
 def s_learner(units: DataFrame, new_units: DataFrame, x: str, arms=cfg.ARMS) -> DataFrame:
     """Predictions s_<arm> of the additive model for new units."""
-    model = additive_model(units, x, arms).persist()  # one row
+    model = materialise(additive_model(units, x, arms), "additive")  # one row
     return new_units.crossJoin(F.broadcast(model)).select(  # one-row side
         "*", *[(F.col(f"level_{a}") + F.col("slope") * F.col(x)).alias(f"s_{a}") for a in arms]
     ).drop("slope", *[f"level_{a}" for a in arms])

@@ -9,6 +9,7 @@ from evenhand.functions.ranking import hash_threshold
 from evenhand.operators import effects as E
 from evenhand.operators import retrieval as H
 from evenhand.operators import search as S
+from evenhand.plans import grading_queries as GQ
 from evenhand.sources import readers as R
 from evenhand.sources import tables as T
 
@@ -105,3 +106,10 @@ def test_folds_are_placed_once(spark, sf):
     got = sorted((r.arm, hashlib.md5(f"{r.unit_id}:fold".encode()).hexdigest(), r.fold) for r in folded.select("arm", "unit_id", "fold").collect())
     for arm in "ABC":
         assert [f for a, _, f in got if a == arm] == [i % 5 for i in range(sum(a == arm for a, *_ in got))]
+
+
+def test_kept_tables_do_not_carry_their_plans_on(spark, sf):
+    size = lambda df: len(df._jdf.queryExecution().toString())
+    folded = size(E.add_folds(T.planted(spark, sf)))
+    scored, lev = E.scored_cohort(T.planted(spark, sf)), GQ.levels(spark, sf)
+    assert size(scored) < 3 * folded and size(lev) < 6 * folded
