@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand import config as cfg
+from evenhand.functions.ranking import exact_quantiles
 from evenhand.functions.stats import rnd, union_all
+from evenhand.session import materialise
 
 
 def _label(arms):
@@ -73,12 +75,46 @@ def tree_outcomes(folded: DataFrame, covariates, arms=cfg.ARMS, trees: int = 200
     return union_all(parts)
 
 
+def bin_edges(df: DataFrame, covariates, bins: int = 32) -> dict[str, list[float]]:
+    """At most ``bins - 1`` thresholds a covariate, as trees consider: between its values if these are few, else its exact quantiles."""
+    out = {}
+    for c in covariates:
+        x = df.select(F.col(c).cast("double").alias("x")).where(F.col("x").isNotNull())
+        few = sorted(r[0] for r in x.distinct().limit(bins + 1).collect())
+        if len(few) <= bins:
+            out[c] = [(a + b) / 2 for a, b in zip(few, few[1:])]
+        else:
+            out[c] = sorted({r["value"] for r in exact_quantiles(x, "x", [i / bins for i in range(1, bins)]).collect()})
+    return out
+
+
+def binned(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Adds __bin_<covariate>, the number of thresholds below the value; empty if the value is, so that assembling ends with an error."""
+    def bin_of(c):
+        x = F.col(c).cast("double")
+        n = F.size(F.filter(F.array(*[F.lit(e) for e in edges[c]]), lambda e: e < x)) if edges[c] else F.lit(0)
+        return F.when(x.isNotNull() & ~F.isnan(x), n.cast("double"))
+
+    return df.select("*", *[bin_of(c).alias(f"__bin_{c}") for c in edges])
+
+
+def tree_groups(data: DataFrame, covariates, target) -> DataFrame:
+    """Binned units as a row for each set of bins that occurs: mean of ``target`` as __ps, number of units as __n."""
+    keys = [f"__bin_{c}" for c in covariates]
+    return materialise(data.groupBy(*keys).agg(F.avg(target).alias("__ps"), F.count(F.lit(1)).cast("double").alias("__n")), "tree_groups")
+
+
 def tree_effect(scored: DataFrame, covariates, first: str, second: str, trees: int = 200) -> DataFrame:
-    """Flexible second stage: boosted trees of the score difference on the covariates; adds ``tau``."""
-    data = VectorAssembler(inputCols=list(covariates), outputCol="__raw").transform(
-        scored.withColumn("__ps", F.col(first) - F.col(second))).persist()
-    model = _gbt("__ps", trees).fit(data)
-    return model.transform(data).withColumnRenamed("__pred", "tau").drop("__raw", "__ps")
+    """Flexible second stage: boosted trees of the score difference on the covariates; adds ``tau``.
+
+    A tree sees a covariate only by the thresholds between its bins, so units of the same bins always share a leaf: their mean,
+    weighted by their number, gives the same trees as the units do, and the rounds read this table instead of them."""
+    target = (F.col(first) - F.col(second)).cast("double")
+    data = binned(scored, bin_edges(scored, covariates))
+    keys = [f"__bin_{c}" for c in covariates]
+    to_vector = VectorAssembler(inputCols=keys, outputCol="__raw")
+    model = _gbt("__ps", trees).setWeightCol("__n").fit(to_vector.transform(tree_groups(data, covariates, target)))
+    return model.transform(to_vector.transform(data)).withColumnRenamed("__pred", "tau").drop("__raw", *keys)
 
 
 def grade_levels(pred: DataFrame, prefix: str, arms=cfg.ARMS) -> DataFrame:

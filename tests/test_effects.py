@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from evenhand.operators import diagnostics as D
 from evenhand.operators import effects as E
+from evenhand.operators import learners as M
 from evenhand.operators import linear as L
 from evenhand.operators import matching as N
 from evenhand.sources import tables as T
@@ -138,3 +140,17 @@ def test_hand_worked_weights(spark):
     w = E.ipw_two_arms(st, nu, "A", "B").first()
     assert abs(w["max_weight"] - 5) < 1e-9
     assert abs(E.ipw(st, nu, ("A", "B")).where("target = 'A'").first()["value"] - 1.5) < 1e-9
+
+
+def test_trees_read_a_row_for_each_set_of_bins(spark):
+    d = spark.range(4_000).select(F.col("id").alias("unit_id"), (F.col("id") % 17 / 5.0).alias("x1"), (F.col("id") % 3).alias("b1"), F.lit(0.0).alias("phi_B"))
+    d = d.withColumn("phi_A", F.sin("x1") * 2 + F.col("b1") * F.col("x1") + F.pmod(F.xxhash64("unit_id"), F.lit(100)) / 100.0)
+    rows = VectorAssembler(inputCols=["x1", "b1"], outputCol="__raw").transform(d)
+    want = {r.unit_id: r.t for r in M._gbt("phi_A", 5).fit(rows).transform(rows).select("unit_id", F.col("__pred").alias("t")).collect()}
+    got = M.tree_effect(d, ["x1", "b1"], "phi_A", "phi_B", 5).select("unit_id", "tau").collect()
+    assert len(got) == 4_000 and max(abs(r.tau - want[r.unit_id]) for r in got) < 1e-9
+    many = d.withColumn("x1", F.col("unit_id") / 7.0)
+    edges = M.bin_edges(many, ["x1", "b1"])
+    assert len(edges["x1"]) == 31 and edges["b1"] == [0.5, 1.5] and M.tree_groups(M.binned(many, edges), ["x1", "b1"], F.col("phi_A")).count() == 96
+    with pytest.raises(Exception, match="null"):
+        M.tree_effect(d.withColumn("x1", F.expr("nullif(x1, 0.2)")), ["x1"], "phi_A", "phi_B", 1).agg(F.sum("tau")).collect()
